@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -72,10 +74,10 @@ def drop_scratch(spark: SparkSession) -> None:
 
 def release_shuffles(spark: SparkSession) -> None:
     """Has the driver forget unused shuffles now, so that their files go before the next large stage."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first round frees the plans, the second the shuffles that only they held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:

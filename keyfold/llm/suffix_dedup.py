@@ -149,7 +149,7 @@ def _split(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _batch_rows(docs: DataFrame, parts: int) -> DataFrame:
-    """Batches in id order: batch, ids, sizes, data. Rows of one id stay in one batch."""
+    """Batches in id order: batch, ids, sizes, data (compressed, as it moves twice). Rows of one id stay in one batch."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -161,7 +161,7 @@ def _batch_rows(docs: DataFrame, parts: int) -> DataFrame:
             nonlocal number, held
             sizes = np.array([len(x) for x in parts_], np.int64)
             out = pa.RecordBatch.from_arrays(
-                [pa.array([number], pa.int64()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([sizes.tobytes()], pa.binary()), pa.array([b"".join(parts_)], pa.binary())], ["batch", "ids", "sizes", "data"]
+                [pa.array([number], pa.int64()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([sizes.tobytes()], pa.binary()), pa.array([pa.compress(b"".join(parts_), "zstd", asbytes=True)], pa.binary())], ["batch", "ids", "sizes", "data"]
             )
             number, held = number + 1, 0
             ids.clear()
@@ -184,7 +184,8 @@ def _batch_rows(docs: DataFrame, parts: int) -> DataFrame:
 
 def _open(batch: pa.RecordBatch, i: int) -> Batch:
     get = lambda name: batch.column(name)[i].as_py()
-    return Batch(get("data"), np.frombuffer(get("sizes"), np.int64), np.frombuffer(get("ids"), np.int64))
+    sizes = np.frombuffer(get("sizes"), np.int64)
+    return Batch(pa.decompress(get("data"), int(sizes.sum()), "zstd", asbytes=True), sizes, np.frombuffer(get("ids"), np.int64))
 
 
 def _numbers(value: bytes | None, kind) -> np.ndarray:
@@ -359,7 +360,7 @@ def removed_ranges(df: DataFrame, id_column: str, text_column: str) -> DataFrame
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(max(1, min(size // (8 * BATCH_BYTES) + 1, 100_000)))
     buckets = int(max(LEAST_BUCKETS, size // BUCKET_BYTES))
-    table = stored(_batch_rows(docs, parts), "suffix-batches", "zstd")
+    table = stored(_batch_rows(docs, parts), "suffix-batches", "none")
     release_shuffles(spark)
 
     def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
