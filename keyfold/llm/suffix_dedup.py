@@ -34,7 +34,7 @@ from keyfold.llm.common import ready, release_shuffles, stored
 
 LENGTH = 50
 K = 24
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 BUCKET_BYTES = 48 << 20
 LEAST_BUCKETS = 128
 POSITION_BITS = 28
@@ -352,8 +352,8 @@ def _window_classes(own: Batch, windows: np.ndarray, hashes: np.ndarray):
     return first, number, ids > ids[first][number] if len(first) else np.zeros(0, bool)
 
 
-def removed_ranges(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """id, text (UTF-8 bytes), removed (bytes: 1 where a byte goes) for rows with an id, and the shuffles behind it."""
+def _indexed(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """The rows with an id, after both rounds of the index."""
     spark = ready(df.sparkSession)
     text = F.coalesce(F.encode(F.col(text_column), "utf-8"), F.lit(b""))
     docs = df.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("bigint").alias("id"), text.alias("text"))
@@ -402,19 +402,24 @@ def removed_ranges(df: DataFrame, id_column: str, text_column: str) -> DataFrame
                 starts = np.flatnonzero(gone)
                 cover[starts] += 1
                 np.add.at(cover, starts + LENGTH, -1)
-                cover = (np.cumsum(cover[:-1]) > 0).astype(np.uint8).tobytes()
-                data = own.data.tobytes()
+                cover = np.cumsum(cover[:-1]) > 0
                 for a in range(0, len(own.ids), 512):
-                    b = min(a + 512, len(own.ids))
-                    cut = lambda x: [x[s:e] for s, e in zip(own.starts[a:b], own.ends[a:b], strict=True)]  # noqa: B023, E731
-                    yield pa.RecordBatch.from_arrays([pa.array(own.ids[a:b]), pa.array(cut(data), pa.binary()), pa.array(cut(cover), pa.binary())], ["id", "text", "removed"])
+                    rows = [_cut(own.data[x:y], cover[x:y]) for x, y in zip(own.starts[a : a + 512], own.ends[a : a + 512], strict=True)]
+                    columns = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(own.ids[a : a + 512]), *(pa.array(c, t) for c, t in zip(columns, _KINDS, strict=True))], _NAMES)
 
-    return known.select("batch", "ids", "sizes", "data", "hit", "open", "hit2").mapInArrow(apply, "id bigint, text binary, removed binary")
+    return known.select("batch", "ids", "sizes", "data", "hit", "open", "hit2").mapInArrow(apply, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
 
 
-def _untouched(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    text = F.coalesce(F.encode(F.col(text_column), "utf-8"), F.lit(b""))
-    return df.where(F.col(id_column).isNull()).select(F.col(id_column).cast("bigint").alias("id"), text.alias("text"), F.lit(b"").alias("removed"))
+_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+_NAMES = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+
+
+def _cut(text: np.ndarray, removed: np.ndarray) -> tuple[int, int, int, str, bytes]:
+    """Bytes, removed bytes, removed runs, and the digest and the bytes of what is left."""
+    kept = text[~removed].tobytes()
+    spans = int((np.diff(removed.astype(np.int8), prepend=0) == 1).sum())
+    return len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept
 
 
 def remove_repeats(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -423,20 +428,10 @@ def remove_repeats(df: DataFrame, id_column: str, text_column: str) -> DataFrame
     Returns id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes).
     Texts are UTF-8 bytes, null counts as empty; matches never cross documents; rows with
     one id do not count as repeats of each other; a row with a null id neither removes
-    nor loses anything. Other columns are not read; an empty table gives no rows.
+    nor loses anything. Other columns are not read; an empty table gives no rows. A
+    batch, and so a single text, has to stay below 2**28 bytes.
     """
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for text, removed in zip(batch.column("text").to_pylist(), batch.column("removed").to_pylist(), strict=True):
-                flags = np.frombuffer(removed, np.uint8)
-                kept = text if not flags.any() else np.frombuffer(text, np.uint8)[flags == 0].tobytes()
-                spans = int((np.diff(flags.astype(np.int8), prepend=0) == 1).sum()) if len(kept) < len(text) else 0
-                rows.append((len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept))
-            columns = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    rows = removed_ranges(df, id_column, text_column).union(_untouched(df, id_column, text_column))
-    out = rows.mapInArrow(each, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
-    return out.withColumnRenamed("id", id_column)
+    text = F.coalesce(F.encode(F.col(text_column), "utf-8"), F.lit(b""))
+    rest = df.where(F.col(id_column).isNull()).select(F.col(id_column).cast("bigint").alias("id"), text.alias("kept"))
+    rest = rest.select("id", F.octet_length("kept").cast("bigint").alias("n_bytes"), F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "kept")
+    return _indexed(df, id_column, text_column).union(rest).withColumnRenamed("id", id_column)
