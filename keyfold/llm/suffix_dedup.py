@@ -116,7 +116,8 @@ class Batch:
         self.anchor = at[new]
         self.low = windows[new]
         self.high = windows[np.append(new[1:], len(windows)) - 1]
-        self.gram = grams[self.anchor]
+        # an anchor's gram hashes low by its choice; hashing again spreads the grams evenly over the buckets
+        self.gram = _mix(grams[self.anchor] ^ U(_BASE))
         self.document = np.searchsorted(self.ends, self.anchor, "right")
         stretch = self.hashes(self.low, self.high + LENGTH)
         stretch ^= (self.anchor - self.low).astype(U) * U(0x9E3779B97F4A7C15)
