@@ -96,6 +96,8 @@ class RankQueue:
         most = max(ranks.values(), default=0) + 1
         self.words = [0] * ((most >> WORD_BITS) + 1)
         self.buckets: list[list[int] | None] = [None] * most
+        #: The rank of each pair of bytes, -1 without one: the first pairs need no slices.
+        self.byte_pairs = [ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)]
 
     def merge(self, piece: bytes) -> list[int]:
         """The token ids of one pre-token: merges the lowest rank first, the leftmost pair on ties."""
@@ -105,7 +107,8 @@ class RankQueue:
             return [whole]
         n = len(piece)
         after, before = list(range(1, n + 2)), list(range(-1, n))
-        waiting = [get(piece[i : i + 2], -1) for i in range(n - 1)]
+        byte_pairs = self.byte_pairs
+        waiting = [byte_pairs[a << 8 | b] for a, b in zip(piece, piece[1:], strict=False)]
         waiting.append(-1)
         top = 0
         for i, rank in enumerate(waiting):
