@@ -160,9 +160,14 @@ def kv_latency_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def table_folder(spark: SparkSession) -> str:
-    """A new local folder for a table: in the shared folder if that is local, else a temporary one."""
+    """A new folder for a table, in the shared folder; a session on one machine may have none and gets a temporary one."""
     base = urlparse(spark.conf.get("spark.checkpoint.dir", None) or "")
-    root = base.path if base.scheme in ("", "file") and base.path else tempfile.gettempdir()
+    root = base.path if base.scheme in ("", "file") else ""
+    if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or "cluster" in master:
+            raise RuntimeError("a table needs spark.checkpoint.dir on a file system that all machines mount")
+        root = tempfile.gettempdir()
     return os.path.join(root, f"table-{uuid.uuid4().hex}")
 
 
