@@ -59,7 +59,9 @@ def posteriors(df: DataFrame, id_column: str, text_column: str, model: DataFrame
     partition before the shuffle, which has one row for each document.
     """
     d = len(priors)
-    rows = df.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("text_hash"), F.posexplode(_words(F.col(text_column))).alias("pos", "word"))
+    # The hash is taken before the words are dealt out: after that it would be taken once a word.
+    hashed = df.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("text_hash"), _words(F.col(text_column)).alias("words"))
+    rows = hashed.select("id", "text_hash", F.posexplode("words").alias("pos", "word"))
     rows = rows.join(F.broadcast(model), "word", "left")
     sums = rows.groupBy("id", "text_hash").agg(
         F.sum((F.col("pos") == 0).cast("bigint")).alias("copies"),
