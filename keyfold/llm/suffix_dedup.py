@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyfold.llm.common import ready, release_shuffles, stored
+from keyfold.llm.common import ready, release_shuffles, stored, text_slices
 
 LENGTH = 50
 K = 24
@@ -78,7 +78,9 @@ class Batch:
         self.inverse = _powers(_INVERSE, n + 1)
         terms = _TABLE[self.data]
         terms *= _powers(_BASE, n)
-        self.prefix = np.concatenate([np.zeros(1, U), np.cumsum(terms, dtype=U)])
+        self.prefix = np.zeros(n + 1, U)
+        np.cumsum(terms, dtype=U, out=self.prefix[1:])
+        del terms
         self._anchors()
 
     def hashes(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -95,15 +97,18 @@ class Batch:
         grams = self.prefix[K:] - self.prefix[:-K]
         grams *= self.inverse[: len(grams)]
         _mix(grams)
-        keyed = grams >> U(POSITION_BITS) << U(POSITION_BITS)
-        keyed |= np.arange(len(grams), dtype=U)
-        span, least, width = LENGTH - K + 1, keyed, 1
+        least = grams >> U(POSITION_BITS)
+        least <<= U(POSITION_BITS)
+        least |= np.arange(len(grams), dtype=U)
+        span, width = LENGTH - K + 1, 1
         while 2 * width <= span:
             least = np.minimum(least[:-width], least[width:])
             width *= 2
         if width < span:
             least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
-        at = (least & U((1 << POSITION_BITS) - 1)).astype(np.int64)
+        least &= U((1 << POSITION_BITS) - 1)
+        at = least.astype(np.int64)
+        del least
         inside = np.zeros(n + 1, np.int8)
         long = self.ends - self.starts >= LENGTH
         np.add.at(inside, self.starts[long], 1)
@@ -169,7 +174,7 @@ def _batch_rows(docs: DataFrame, parts: int) -> DataFrame:
             parts_.clear()
             return out
 
-        for batch in batches:
+        for batch in (x for whole in batches for x in text_slices(whole, "text")):
             for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if ids and i != ids[-1] and held + len(text) > BATCH_BYTES:
                     yield row()
@@ -286,8 +291,8 @@ def _index(runs: DataFrame, buckets: int) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for batch in batches:
-                columns = [batch.column(k).to_pylist() for k in range(5)]
-                yield from zip(*columns, strict=True)
+                for i in range(batch.num_rows):
+                    yield tuple(batch.column(k)[i].as_py() for k in range(5))
 
         def out(replies: dict) -> pa.RecordBatch:
             join = lambda x: np.concatenate(x).tobytes() if x else None
