@@ -16,10 +16,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
+#: Arrow batches are bounded by bytes as well as by rows, so that long texts make smaller batches.
+BATCH_LIMIT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package from the place the driver has it in."""
+    """Lets Python workers import this package from the place the driver has it in.
+
+    Bounds the bytes of an Arrow batch where the session sets no bound of its own.
+    """
+    if spark.conf.get(BATCH_LIMIT, None) is None:
+        spark.conf.set(BATCH_LIMIT, str(BATCH_BYTES))
     env = spark.sparkContext.environment
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in parts:
