@@ -36,35 +36,37 @@ class QualityModel:
     bias: float
 
 
-def _layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of all texts with WIDTH zero bytes after each, the first position of each cell, and cells before each text."""
+def _layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all texts with WIDTH zero bytes after each, first and end position of each cell, and cells before each text."""
     sizes = np.array([max(len(t), 1) for t in texts])
     data = np.frombuffer(b"".join([(t or b"\0") + b"\0" * WIDTH for t in texts]), np.uint8)
     first = np.cumsum(sizes + WIDTH) - sizes - WIDTH
     cells = -(-sizes // CELL)
     before = np.concatenate(([0], np.cumsum(cells)))
     starts = np.repeat(first, cells) + (np.arange(before[-1]) - np.repeat(before[:-1], cells)) * CELL
-    return data, starts, before
+    ends = np.minimum(starts + CELL, np.repeat(first + sizes, cells))
+    return data, starts, ends, before
 
 
-def _cells(data: np.ndarray, starts: np.ndarray, filters: np.ndarray, where: bool) -> tuple[np.ndarray, np.ndarray | None]:
-    """The largest response of each filter in each cell and, with ``where``, its position."""
+def _cells(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, filters: np.ndarray, where: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """The largest response of each filter in each cell and, with ``where``, its position.
+
+    A cell's windows start in its own text, so they read that text and its zero bytes only.
+    """
     out = np.empty((len(starts), filters.shape[2]), np.float32)
     at = np.empty(out.shape, np.int64) if where else None
     i = 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(starts, starts[i] + BLOCK)))
-        low = starts[i]
-        high = starts[j] if j < len(starts) else len(data) - WIDTH
+        low, high = starts[i], ends[j - 1]
         responses = filters[0][data[low:high]]
         for k in range(1, WIDTH):
             responses += filters[k][data[low + k : high + k]]
-        own = starts[i:j] - low
-        out[i:j] = np.maximum.reduceat(responses, own, axis=0)
+        bounds = np.stack([starts[i:j], ends[i:j]], axis=1).ravel()[:-1] - low
+        out[i:j] = np.maximum.reduceat(responses, bounds, axis=0)[::2]
         if where:
             for c in range(i, j):
-                end = starts[c + 1] if c + 1 < len(starts) else high
-                at[c] = starts[c] + responses[starts[c] - low : end - low].argmax(axis=0)
+                at[c] = starts[c] + responses[starts[c] - low : ends[c] - low].argmax(axis=0)
         i = j
     return out, at
 
@@ -77,13 +79,14 @@ def _chunks(cells: np.ndarray, before: np.ndarray) -> np.ndarray:
 
 
 def _forward(model: QualityModel, texts: list[bytes], where: bool = False):
-    data, starts, before = _layout(texts)
-    cells, at = _cells(data, starts, model.filters, where)
+    data, starts, ends, before = _layout(texts)
+    cells, at = _cells(data, starts, ends, model.filters, where)
     after = _chunks(cells, before)
     chunk = np.maximum(cells, cells[after])
     top = np.maximum.reduceat(chunk, before[:-1], axis=0)
     mean = np.add.reduceat(chunk, before[:-1], axis=0) / np.diff(before)[:, None]
-    logit = top @ model.top + mean @ model.mean + model.bias
+    # summed row by row, as a matrix product rounds by its shape: a score depends on its text only
+    logit = (top * model.top).sum(axis=1) + (mean * model.mean).sum(axis=1) + model.bias
     return logit, (data, before, cells, at, after, chunk, top, mean)
 
 

@@ -233,6 +233,15 @@ def test_quality_network_learns_and_reads_whole_texts(spark):
     assert abs(one[0] - many[2]) < 1e-6
 
 
+def test_a_score_does_not_depend_on_the_texts_around():
+    r = np.random.default_rng(0)
+    model = quality_cnn.QualityModel(r.normal(size=(5, 256, 10)).astype(np.float32), r.normal(size=10).astype(np.float32), r.normal(size=10).astype(np.float32), 0.0)
+    for text in (b"", b"x", b"house", b"The house", b"z" * 256, b"ab " * 200):
+        alone = quality_cnn.predict(model, [text])[0]
+        for others in ([b"###$%^"], [b"The house"], [b""], [b"z" * 70_000, b"a"]):
+            assert quality_cnn.predict(model, [text, *others])[0] == quality_cnn.predict(model, [*others, text])[-1] == alone
+
+
 def test_the_sample_is_bounded_and_keeps_to_its_fold(spark):
     docs = spark.createDataFrame([(k, f"t{k}") for k in range(2000)], "doc_id long, text string")
     labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("y"))
