@@ -1,0 +1,233 @@
+"""Near duplicates by the similarity of word shingles: an inverted index with prefix and count filtering.
+
+The shingles of a text are its distinct runs of ``width`` words, as 64-bit hashes. Two
+texts link if the Jaccard similarity of their shingles is ``least`` or more. Sets of n
+that link share at least ceil(least * n) shingles, so in any order of all shingles the
+first n - ceil(least * n) + 1 of both have one in common. Only these are indexed, in an
+order that puts shingles last that are common in a sample; the order bears on the length
+of the lists, never on the result. Every link is verified on the whole sets.
+
+Candidates are taken in two steps: each member of a list with the list's first, and after
+the components of what they link, all pairs of a list that are in different components. A
+list of copies of one text is thus settled by its first step.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructType
+
+from keyfold.llm.common import ready, release_shuffles, stored, text_slices, utf8
+from keyfold.llm.components import connected_components
+from keyfold.llm.simhash import SEED, _ASCII_LOWER
+
+#: Sets of the sample that finds common shingles, the least count there, the most shingles taken.
+SAMPLE_SETS, LEAST_COUNT, MOST_COMMON = 10_000, 4, 1 << 16
+MOST_SEEN = 1 << 20
+ROW, SET, HASHES, GROUP = "_row", "_set", "_hashes", "_group"
+
+
+def shingles(text: bytes, width: int) -> np.ndarray:
+    """The ascending distinct hashes of a text's word shingles, lower case in ASCII; none for a text without words."""
+    words = text.translate(_ASCII_LOWER).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    if len(words) < width:
+        bounds = [(0, len(joined))]
+    else:
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(sizes + 1) - 1
+        bounds = zip((ends - sizes)[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in bounds], np.uint64))
+
+
+def indexed(n: int, least: float) -> int:
+    """How many shingles of a set of n are indexed."""
+    return n - math.ceil(least * n - 1e-9) + 1
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether two sets of ascending hashes have a Jaccard similarity of ``least`` or more."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= least * (len(a) + len(b) - both) - 1e-9
+
+
+def _marked(df: DataFrame, text_column: str, width: int) -> DataFrame:
+    """The rows of ``df`` with a number, a digest of their set and its hashes, null where the task had the set before."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
+        seen: set[int] = set()
+        for batch in (x for whole in batches for x in text_slices(whole, text_column)):
+            sets, hashes = [], []
+            for text in utf8(batch.column(text_column)):
+                own = shingles(text, width).tobytes()
+                digest = xxhash.xxh64_intdigest(own, SEED) - (1 << 63)
+                sets.append(digest)
+                hashes.append(None if digest in seen else own)
+                if len(seen) < MOST_SEEN:
+                    seen.add(digest)
+            rows = pa.array(np.arange(number, number + batch.num_rows))
+            number += batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, rows, pa.array(sets, pa.int64()), pa.array(hashes, pa.binary())], [*batch.schema.names, ROW, SET, HASHES])
+
+    schema = StructType([*df.schema.fields]).add(ROW, LongType()).add(SET, LongType()).add(HASHES, BinaryType())
+    return stored(df.mapInArrow(each, schema), "shingle-rows")
+
+
+def _common(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are common in a sample of sets, ascending, and their counts there; a bounded number."""
+    share = min(1.0, SAMPLE_SETS / max(1, sets.count()))
+    sample = sets.where(F.pmod(F.xxhash64(SET), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(HASHES):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_py(), np.int64))], ["h"])
+
+    counts = sample.select(HASHES).mapInArrow(each, "h bigint").groupBy("h").count().where(F.col("count") >= LEAST_COUNT)
+    found = counts.orderBy(F.col("count").desc(), "h").limit(MOST_COMMON).collect()
+    hashes = np.array([r["h"] for r in found], np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], np.array([r["count"] for r in found], np.int64)[order]
+
+
+def first_shingles(own: np.ndarray, common: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
+    """The indexed shingles of a set: those outside ``common`` by hash, then the others by count and hash."""
+    size = indexed(len(own), least)
+    if not len(common):
+        return own[:size]
+    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+    hot = common[at] == own
+    rare = own[~hot][:size]
+    if len(rare) == size:
+        return rare
+    rest = np.flatnonzero(hot)
+    return np.concatenate([rare, own[rest[np.lexsort((own[rest], counts[at[rest]]))]][: size - len(rare)]])
+
+
+def _postings(sets: DataFrame, least: float) -> DataFrame:
+    common, counts = _common(sets)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, nodes, sizes = [], [], []
+            for node, x in zip(batch.column(SET).to_pylist(), batch.column(HASHES), strict=True):
+                own = np.frombuffer(x.as_py(), np.uint64)
+                if len(own):
+                    keys.append(first_shingles(own, common, counts, least))
+                    nodes.append(np.full(len(keys[-1]), node, np.int64))
+                    sizes.append(np.full(len(keys[-1]), len(own), np.int32))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes))], ["key", "node", "n"])
+
+    return sets.select(SET, HASHES).mapInArrow(each, "key bigint, node bigint, n int")
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Whole lists of a stream ordered by its first column: bounds of the lists and the columns of each part."""
+    held = None
+    for batch in batches:
+        part = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
+        if held is not None:
+            part = [np.concatenate(x) for x in zip(held, part, strict=True)]
+        new = np.flatnonzero(np.diff(part[0])) + 1
+        cut = new[-1] if len(new) else 0
+        if cut:
+            yield np.concatenate(([0], new)), [x[:cut] for x in part]
+        held = [x[cut:] for x in part]
+    if held is not None and len(held[0]):
+        yield np.array([0, len(held[0])]), held
+
+
+def _met(postings: DataFrame, least: float) -> DataFrame:
+    """The lists of two or more sets: key, node, n, and the list's first node and its n."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bounds, (key, node, n) in _lists(batches):
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+            sizes = np.add.reduceat(new.astype(np.int64), bounds[:-1])
+            first = np.repeat(bounds[:-1], np.diff(bounds))
+            keep = np.flatnonzero(new & (np.repeat(sizes, np.diff(bounds)) > 1))
+            if len(keep):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[keep], node[keep], n[keep], node[first[keep]], n[first[keep]])], ["key", "node", "n", "first", "first_n"])
+
+    parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = postings.repartition(parts, "key").sortWithinPartitions("key", "node")
+    return stored(ordered.mapInArrow(each, "key bigint, node bigint, n int, first bigint, first_n int"), "shingle-lists")
+
+
+def _across(met: DataFrame, components: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of a list that are in different components, fit in size, and were not tried with the list's first."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bounds, (_, node, n, first, component) in _lists(batches):
+            for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                if (component[low:high] == component[low]).all():
+                    continue
+                own = low + np.flatnonzero(node[low:high] != first[low:high])
+                own = own[np.argsort(n[own], kind="stable")]
+                v, c, m = node[own], component[own], n[own]
+                last = np.searchsorted(m, m / least + 1e-9, "right")
+                for i in range(len(own)):
+                    j = i + 1 + np.flatnonzero(c[i + 1 : last[i]] != c[i])
+                    if len(j):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(v[i], v[j])), pa.array(np.maximum(v[i], v[j]))], ["a", "b"])
+
+    parts = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = met.join(components.select(F.col("node").alias("_node"), "component"), F.col("node") == F.col("_node"), "left")
+    named = named.select("key", "node", "n", "first", F.coalesce("component", "node").alias("component"))
+    several = named.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low != _high").select(F.col("key").alias("_key"))
+    named = named.join(several, F.col("key") == F.col("_key"), "left_semi")
+    return named.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(each, "a bigint, b bigint")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar."""
+    pairs = stored(pairs.distinct(), "shingle-pairs")
+    needed = pairs.select(F.col("a").alias("_needed")).union(pairs.select("b")).distinct()
+    held = stored(sets.select(SET, HASHES).join(needed, F.col(SET) == F.col("_needed"), "left_semi").dropDuplicates([SET]), "shingle-sets")
+    both = pairs.join(held.toDF("_a", "x"), F.col("a") == F.col("_a")).join(held.toDF("_b", "y"), F.col("b") == F.col("_b")).select("a", "b", "x", "y")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column("x"), batch.column("y")
+            keep = [similar(np.frombuffer(x[i].as_py(), np.uint64), np.frombuffer(y[i].as_py(), np.uint64), least) for i in range(batch.num_rows)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return stored(both.mapInArrow(each, "a bigint, b bigint"), "shingle-links")
+
+
+def grouped(df: DataFrame, text_column: str, width: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of ``df`` with _row, a number of their own, and _group, equal for texts that links join.
+
+    Texts with the same shingles link, so all without words, null and empty ones among
+    them, are one group. A text of fewer than ``width`` words is one shingle. Ids are
+    not read; repeated rows stay apart; an empty table gives no rows.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("least must be above 0 and at most 1")
+    spark = ready(df.sparkSession)
+    marked = _marked(df, text_column, width)
+    sets = marked.where(F.col(HASHES).isNotNull())
+    met = _met(_postings(sets, least), least)
+    release_shuffles(spark)
+    fits = F.least("n", "first_n") >= F.greatest("n", "first_n") * F.lit(least) - 1e-9
+    stars = _verified(met.where((F.col("node") != F.col("first")) & fits).select(F.col("first").alias("a"), F.col("node").alias("b")), sets, least)
+    components = stored(connected_components(stars), "shingle-components")
+    links = stars.union(_verified(_across(met, components, least), sets, least))
+    release_shuffles(spark)
+    found = stored(connected_components(links), "shingle-components")
+    joined = marked.drop(HASHES).join(found, F.col(SET) == F.col("node"), "left")
+    return joined.select(*df.columns, ROW, F.coalesce("component", SET).alias(GROUP))

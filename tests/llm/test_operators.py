@@ -12,7 +12,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from keyfold.llm import bpe, ego_join, line_rules, mixing, quality_cnn, simhash, token_counts, toxicity, warc
+from keyfold.llm import bpe, ego_join, line_rules, mixing, quality_cnn, shingle_join, simhash, token_counts, toxicity, warc
 from keyfold.llm.common import labelled_sample
 from keyfold.llm.components import connected_components
 
@@ -128,6 +128,53 @@ def test_simhash_of_repeated_and_null_ids(spark):
     assert simhash.near_duplicates(df.where("false"), "doc_id", "text").count() == 0
 
 
+def shingle_set(text, width=5):
+    w = (text or "").lower().split()
+    return {" ".join(w[i : i + width]) for i in range(len(w) - width + 1)} or ({" ".join(w)} if w else set())
+
+
+def near_copies(r):
+    """Texts of 40 to 250 words with copies that differ in 1 to 6 words, some in many copies."""
+    texts = [None, "", " ", "a b", "A  b"]
+    for k in range(30):
+        base = [f"w{r.randrange(4000)}" for _ in range(r.randrange(40, 250))]
+        for _ in range(30 if k == 0 else r.randrange(1, 5)):
+            t = list(base)
+            for _ in range(r.randrange(0, 7)):
+                t[r.randrange(len(t))] = f"n{r.randrange(10**6)}"
+            texts.append(" ".join(t))
+    texts += [f"{x} " + "one line that stands in very many of the texts here again" for x in range(30)]
+    return texts
+
+
+@pytest.mark.parametrize("common", [1 << 16, 3])
+def test_shingle_groups_match_brute_force(spark, monkeypatch, common):
+    monkeypatch.setattr(shingle_join, "MOST_COMMON", common)
+    texts = near_copies(random.Random(common))
+    sets = [shingle_set(t) for t in texts]
+    linked = [(a, b) for a, b in combinations(range(len(texts)), 2) if sets[a] == sets[b] or (sets[a] | sets[b] and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]))]
+    label = classes(range(len(texts)), linked)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for x in shingle_join.grouped(df, "text").collect():
+        got.setdefault(x["_group"], set()).add(x["doc_id"])
+    want = {}
+    for k, c in label.items():
+        want.setdefault(c, set()).add(k)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert shingle_join.grouped(df.where("false"), "text").count() == 0
+
+
+def test_the_pipeline_drops_near_copies_of_0_8(spark):
+    import corpus_pipeline
+
+    texts = near_copies(random.Random(11))
+    sets = [shingle_set(t) for t in texts]
+    label = classes(range(len(texts)), [(a, b) for a, b in combinations(range(len(texts)), 2) if sets[a] == sets[b] or (sets[a] | sets[b] and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]))])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {x["doc_id"] for x in corpus_pipeline.near_duplicates(spark, df, "").collect()} == set(label.values())
+
+
 # ---- 3 and 10
 
 TRICKY = ["", "a", "It's the  end\n\n  of\tit's", "é字😀 ß ²Ⅷ ٣", "\x1c\xa0\x85  x", "ab" * 3000, "   \n \n", "don't 'S 123abc", "<|endoftext|>", "z" * 20000]
