@@ -358,7 +358,7 @@ def _window_classes(own: Batch, windows: np.ndarray, hashes: np.ndarray):
     return first, number, ids > ids[first][number] if len(first) else np.zeros(0, bool)
 
 
-def _indexed(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
+def _indexed(df: DataFrame, id_column: str, text_column: str, sources: bool) -> DataFrame:
     """The rows with an id, after both rounds of the index."""
     spark = ready(df.sparkSession)
     text = F.coalesce(F.encode(F.col(text_column), "utf-8"), F.lit(b""))
@@ -411,10 +411,12 @@ def _indexed(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
                 cover = np.cumsum(cover[:-1]) > 0
                 for a in range(0, len(own.ids), 512):
                     rows = [_cut(own.data[x:y], cover[x:y]) for x, y in zip(own.starts[a : a + 512], own.ends[a : a + 512], strict=True)]
-                    columns = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(own.ids[a : a + 512]), *(pa.array(c, t) for c, t in zip(columns, _KINDS, strict=True))], _NAMES)
+                    columns = [pa.array(own.ids[a : a + 512]), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _KINDS, strict=True))]
+                    if sources:
+                        columns.append(pa.array([hashlib.sha256(own.data[x:y]).hexdigest() for x, y in zip(own.starts[a : a + 512], own.ends[a : a + 512], strict=True)], pa.string()))
+                    yield pa.RecordBatch.from_arrays(columns, _NAMES + ["source_sha256"] * sources)
 
-    return known.select("batch", "ids", "sizes", "data", "hit", "open", "hit2").mapInArrow(apply, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    return known.select("batch", "ids", "sizes", "data", "hit", "open", "hit2").mapInArrow(apply, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary" + ", source_sha256 string" * sources)
 
 
 _KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
@@ -428,10 +430,11 @@ def _cut(text: np.ndarray, removed: np.ndarray) -> tuple[int, int, int, str, byt
     return len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept
 
 
-def remove_repeats(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
+def remove_repeats(df: DataFrame, id_column: str, text_column: str, sources: bool = False) -> DataFrame:
     """Removes from each whole text what also stands in a document with a smaller id.
 
-    Returns id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes).
+    Returns id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes) and,
+    with ``sources``, source_sha256 of the whole text, which tells texts of one id apart.
     Texts are UTF-8 bytes, null counts as empty; matches never cross documents; rows with
     one id do not count as repeats of each other; a row with a null id neither removes
     nor loses anything. Other columns are not read; an empty table gives no rows. A
@@ -439,5 +442,5 @@ def remove_repeats(df: DataFrame, id_column: str, text_column: str) -> DataFrame
     """
     text = F.coalesce(F.encode(F.col(text_column), "utf-8"), F.lit(b""))
     rest = df.where(F.col(id_column).isNull()).select(F.col(id_column).cast("bigint").alias("id"), text.alias("kept"))
-    rest = rest.select("id", F.octet_length("kept").cast("bigint").alias("n_bytes"), F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "kept")
-    return _indexed(df, id_column, text_column).union(rest).withColumnRenamed("id", id_column)
+    rest = rest.select("id", F.octet_length("kept").cast("bigint").alias("n_bytes"), F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "kept", *[F.sha2("kept", 256).alias("source_sha256")] * sources)
+    return _indexed(df, id_column, text_column, sources).union(rest).withColumnRenamed("id", id_column)

@@ -175,6 +175,27 @@ def test_the_pipeline_drops_near_copies_of_0_8(spark):
     assert {x["doc_id"] for x in corpus_pipeline.near_duplicates(spark, df, "").collect()} == set(label.values())
 
 
+def test_the_pipeline_keeps_a_row_of_each_group_whatever_its_id(spark):
+    import corpus_pipeline
+
+    r = random.Random(12)
+    t = [words(r, 60) for _ in range(6)]
+    rows = [(None, t[0]), (None, t[1]), (None, t[1]), (7, t[2]), (7, t[3]), (7, t[3]), (3, t[4]), (None, t[4]), (9, t[4]), (3, t[5]), (2, t[5]), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(None, t[0]), (None, t[1]), (7, t[2]), (7, t[3]), (3, t[4]), (2, t[5]), (None, None)]
+    assert sorted(map(str, map(tuple, corpus_pipeline.near_duplicates(spark, df, "").collect()))) == sorted(map(str, want))
+
+
+def test_repeats_keeps_rows_of_one_id_apart(spark):
+    import corpus_pipeline
+
+    r = random.Random(13)
+    passage, a, b = words(r, 40), words(r, 30), words(r, 30)
+    df = spark.createDataFrame([(1, passage), (2, a + passage), (2, b + passage), (2, b + passage), (None, passage)], "doc_id long, text string")
+    got = sorted(map(str, map(tuple, corpus_pipeline.repeats(spark, df, "").collect())))
+    assert got == sorted(map(str, [(1, passage), (2, a), (2, b), (2, b), (None, passage)]))
+
+
 # ---- 3 and 10
 
 TRICKY = ["", "a", "It's the  end\n\n  of\tit's", "é字😀 ß ²Ⅷ ٣", "\x1c\xa0\x85  x", "ab" * 3000, "   \n \n", "don't 'S 123abc", "<|endoftext|>", "z" * 20000]
