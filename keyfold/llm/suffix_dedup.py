@@ -358,7 +358,7 @@ def _window_classes(own: Batch, windows: np.ndarray, hashes: np.ndarray):
     return first, number, ids > ids[first][number] if len(first) else np.zeros(0, bool)
 
 
-def _indexed(df: DataFrame, id_column: str, text_column: str, sources: bool) -> DataFrame:
+def _indexed(df: DataFrame, id_column: str, text_column: str, sources: bool, characters: bool) -> DataFrame:
     """The rows with an id, after both rounds of the index."""
     spark = ready(df.sparkSession)
     text = F.coalesce(F.encode(F.col(text_column), "utf-8"), F.lit(b""))
@@ -410,7 +410,7 @@ def _indexed(df: DataFrame, id_column: str, text_column: str, sources: bool) ->
                 np.add.at(cover, starts + LENGTH, -1)
                 cover = np.cumsum(cover[:-1]) > 0
                 for a in range(0, len(own.ids), 512):
-                    rows = [_cut(own.data[x:y], cover[x:y]) for x, y in zip(own.starts[a : a + 512], own.ends[a : a + 512], strict=True)]
+                    rows = [_cut(own.data[x:y], cover[x:y], characters) for x, y in zip(own.starts[a : a + 512], own.ends[a : a + 512], strict=True)]
                     columns = [pa.array(own.ids[a : a + 512]), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _KINDS, strict=True))]
                     if sources:
                         columns.append(pa.array([hashlib.sha256(own.data[x:y]).hexdigest() for x, y in zip(own.starts[a : a + 512], own.ends[a : a + 512], strict=True)], pa.string()))
@@ -423,18 +423,25 @@ _KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
 _NAMES = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
 
 
-def _cut(text: np.ndarray, removed: np.ndarray) -> tuple[int, int, int, str, bytes]:
-    """Bytes, removed bytes, removed runs, and the digest and the bytes of what is left."""
+def _cut(text: np.ndarray, removed: np.ndarray, characters: bool = False) -> tuple[int, int, int, str, bytes]:
+    """Bytes, removed bytes, removed runs, and the digest and the bytes of what is left; ``characters`` go whole."""
+    if characters and removed.any():
+        new = (text & 0xC0) != 0x80
+        new[0] = True
+        first = np.flatnonzero(new)
+        removed = np.repeat(np.logical_or.reduceat(removed, first), np.diff(np.append(first, len(text))))
     kept = text[~removed].tobytes()
     spans = int((np.diff(removed.astype(np.int8), prepend=0) == 1).sum())
     return len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept
 
 
-def remove_repeats(df: DataFrame, id_column: str, text_column: str, sources: bool = False) -> DataFrame:
+def remove_repeats(df: DataFrame, id_column: str, text_column: str, sources: bool = False, characters: bool = False) -> DataFrame:
     """Removes from each whole text what also stands in a document with a smaller id.
 
     Returns id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes) and,
     with ``sources``, source_sha256 of the whole text, which tells texts of one id apart.
+    With ``characters`` a character that loses a byte goes whole, so what is left is
+    UTF-8; the counts and the digest are of that.
     Texts are UTF-8 bytes, null counts as empty; matches never cross documents; rows with
     one id do not count as repeats of each other; a row with a null id neither removes
     nor loses anything. Other columns are not read; an empty table gives no rows. A
@@ -443,4 +450,4 @@ def remove_repeats(df: DataFrame, id_column: str, text_column: str, sources: boo
     text = F.coalesce(F.encode(F.col(text_column), "utf-8"), F.lit(b""))
     rest = df.where(F.col(id_column).isNull()).select(F.col(id_column).cast("bigint").alias("id"), text.alias("kept"))
     rest = rest.select("id", F.octet_length("kept").cast("bigint").alias("n_bytes"), F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "kept", *[F.sha2("kept", 256).alias("source_sha256")] * sources)
-    return _indexed(df, id_column, text_column, sources).union(rest).withColumnRenamed("id", id_column)
+    return _indexed(df, id_column, text_column, sources, characters).union(rest).withColumnRenamed("id", id_column)

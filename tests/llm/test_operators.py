@@ -196,6 +196,17 @@ def test_repeats_keeps_rows_of_one_id_apart(spark):
     assert got == sorted(map(str, [(1, passage), (2, a), (2, b), (2, b), (None, passage)]))
 
 
+def test_repeats_keeps_replacement_characters_of_the_input(spark):
+    import corpus_pipeline
+
+    r = random.Random(14)
+    passage, a, b = words(r, 40), words(r, 30), words(r, 30)
+    # the passage and the next character share their first bytes: the cut falls inside the character
+    df = spark.createDataFrame([(1, passage + "é"), (2, f"{a}\ufffd{passage}è\ufffd{b}")], "doc_id long, text string")
+    got = dict(map(tuple, corpus_pipeline.repeats(spark, df, "").collect()))
+    assert got == {1: passage + "é", 2: f"{a}\ufffd\ufffd{b}"}
+
+
 # ---- 3 and 10
 
 TRICKY = ["", "a", "It's the  end\n\n  of\tit's", "é字😀 ß ²Ⅷ ٣", "\x1c\xa0\x85  x", "ab" * 3000, "   \n \n", "don't 'S 123abc", "<|endoftext|>", "z" * 20000]
