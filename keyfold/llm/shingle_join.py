@@ -7,9 +7,9 @@ first n - ceil(least * n) + 1 of both have one in common. Only these are indexed
 order that puts shingles last that are common in a sample; the order bears on the length
 of the lists, never on the result. Every link is verified on the whole sets.
 
-Candidates are taken in two steps: each member of a list with the list's first, and after
-the components of what they link, all pairs of a list that are in different components. A
-list of copies of one text is thus settled by its first step.
+Candidates are taken in two steps: each set with the least first of its lists, and after
+the components of what these link, all pairs of a list that are in different components.
+A list of copies of one text is thus settled by the first step.
 """
 
 from __future__ import annotations
@@ -23,15 +23,16 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructType
+from pyspark.sql.types import LongType, StructType
 
-from keyfold.llm.common import ready, release_shuffles, stored, text_slices, utf8
+from keyfold.llm.common import drop_stored, ready, release_shuffles, stored, text_slices, utf8
 from keyfold.llm.components import connected_components
 from keyfold.llm.simhash import SEED, _ASCII_LOWER
 
 #: Sets of the sample that finds common shingles, the least count there, the most shingles taken.
 SAMPLE_SETS, LEAST_COUNT, MOST_COMMON = 10_000, 4, 1 << 16
 MOST_SEEN = 1 << 20
+MOST_BROADCAST = 1 << 18
 ROW, SET, HASHES, GROUP = "_row", "_set", "_hashes", "_group"
 
 
@@ -62,27 +63,43 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return both >= least * (len(a) + len(b) - both) - 1e-9
 
 
+def _digest(own: bytes) -> int:
+    return xxhash.xxh64_intdigest(own, SEED) - (1 << 63)
+
+
 def _marked(df: DataFrame, text_column: str, width: int) -> DataFrame:
-    """The rows of ``df`` with a number, a digest of their set and its hashes, null where the task had the set before."""
+    """The rows of ``df`` with a number and a digest of their set."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
-        seen: set[int] = set()
         for batch in (x for whole in batches for x in text_slices(whole, text_column)):
+            sets = [_digest(shingles(text, width).tobytes()) for text in utf8(batch.column(text_column))]
+            rows = pa.array(np.arange(number, number + batch.num_rows))
+            number += batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, rows, pa.array(sets, pa.int64())], [*batch.schema.names, ROW, SET])
+
+    return stored(df.mapInArrow(each, StructType([*df.schema.fields]).add(ROW, LongType()).add(SET, LongType())), "shingle-rows")
+
+
+def _sets(df: DataFrame, text_column: str, width: int) -> DataFrame:
+    """The digest and hashes of each set, left out where the task had it before; a table that goes once links are known."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in (x for whole in batches for x in text_slices(whole, "text")):
             sets, hashes = [], []
-            for text in utf8(batch.column(text_column)):
+            for text in utf8(batch.column("text")):
                 own = shingles(text, width).tobytes()
-                digest = xxhash.xxh64_intdigest(own, SEED) - (1 << 63)
-                sets.append(digest)
-                hashes.append(None if digest in seen else own)
+                digest = _digest(own)
+                if digest in seen:
+                    continue
                 if len(seen) < MOST_SEEN:
                     seen.add(digest)
-            rows = pa.array(np.arange(number, number + batch.num_rows))
-            number += batch.num_rows
-            yield pa.RecordBatch.from_arrays([*batch.columns, rows, pa.array(sets, pa.int64()), pa.array(hashes, pa.binary())], [*batch.schema.names, ROW, SET, HASHES])
+                sets.append(digest)
+                hashes.append(own)
+            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.int64()), pa.array(hashes, pa.binary())], [SET, HASHES])
 
-    schema = StructType([*df.schema.fields]).add(ROW, LongType()).add(SET, LongType()).add(HASHES, BinaryType())
-    return stored(df.mapInArrow(each, schema), "shingle-rows")
+    return stored(df.select(F.col(text_column).alias("text")).mapInArrow(each, f"{SET} bigint, {HASHES} binary"), "shingle-sets")
 
 
 def _common(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -169,15 +186,14 @@ def _met(postings: DataFrame, least: float) -> DataFrame:
 
 
 def _across(met: DataFrame, components: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of a list that are in different components, fit in size, and were not tried with the list's first."""
+    """Pairs (a, b) of a list that are in different components and fit in size."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bounds, (_, node, n, first, component) in _lists(batches):
+        for bounds, (_, node, n, component) in _lists(batches):
             for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 if (component[low:high] == component[low]).all():
                     continue
-                own = low + np.flatnonzero(node[low:high] != first[low:high])
-                own = own[np.argsort(n[own], kind="stable")]
+                own = low + np.argsort(n[low:high], kind="stable")
                 v, c, m = node[own], component[own], n[own]
                 last = np.searchsorted(m, m / least + 1e-9, "right")
                 for i in range(len(own)):
@@ -187,7 +203,7 @@ def _across(met: DataFrame, components: DataFrame, least: float) -> DataFrame:
 
     parts = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     named = met.join(components.select(F.col("node").alias("_node"), "component"), F.col("node") == F.col("_node"), "left")
-    named = named.select("key", "node", "n", "first", F.coalesce("component", "node").alias("component"))
+    named = named.select("key", "node", "n", F.coalesce("component", "node").alias("component"))
     several = named.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low != _high").select(F.col("key").alias("_key"))
     named = named.join(several, F.col("key") == F.col("_key"), "left_semi")
     return named.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(each, "a bigint, b bigint")
@@ -195,9 +211,10 @@ def _across(met: DataFrame, components: DataFrame, least: float) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar."""
-    pairs = stored(pairs.distinct(), "shingle-pairs")
     needed = pairs.select(F.col("a").alias("_needed")).union(pairs.select("b")).distinct()
-    held = stored(sets.select(SET, HASHES).join(needed, F.col(SET) == F.col("_needed"), "left_semi").dropDuplicates([SET]), "shingle-sets")
+    if pairs.count() <= MOST_BROADCAST:  # else all sets move for the few that are candidates
+        needed = F.broadcast(needed)
+    held = stored(sets.select(SET, HASHES).join(needed, F.col(SET) == F.col("_needed"), "left_semi").dropDuplicates([SET]), "shingle-needed")
     both = pairs.join(held.toDF("_a", "x"), F.col("a") == F.col("_a")).join(held.toDF("_b", "y"), F.col("b") == F.col("_b")).select("a", "b", "x", "y")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +223,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             keep = [similar(np.frombuffer(x[i].as_py(), np.uint64), np.frombuffer(y[i].as_py(), np.uint64), least) for i in range(batch.num_rows)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return stored(both.mapInArrow(each, "a bigint, b bigint"), "shingle-links")
+    links = stored(both.mapInArrow(each, "a bigint, b bigint"), "shingle-links")
+    drop_stored(held)
+    return links
 
 
 def grouped(df: DataFrame, text_column: str, width: int = 5, least: float = 0.8) -> DataFrame:
@@ -220,14 +239,20 @@ def grouped(df: DataFrame, text_column: str, width: int = 5, least: float = 0.8)
         raise ValueError("least must be above 0 and at most 1")
     spark = ready(df.sparkSession)
     marked = _marked(df, text_column, width)
-    sets = marked.where(F.col(HASHES).isNotNull())
+    sets = _sets(df, text_column, width)
     met = _met(_postings(sets, least), least)
     release_shuffles(spark)
     fits = F.least("n", "first_n") >= F.greatest("n", "first_n") * F.lit(least) - 1e-9
-    stars = _verified(met.where((F.col("node") != F.col("first")) & fits).select(F.col("first").alias("a"), F.col("node").alias("b")), sets, least)
+    tried = met.where((F.col("node") != F.col("first")) & fits).groupBy(F.col("node").alias("b")).agg(F.min("first").alias("a")).select("a", "b")
+    tried = stored(tried, "shingle-pairs")
+    stars = _verified(tried, sets, least)
     components = stored(connected_components(stars), "shingle-components")
-    links = stars.union(_verified(_across(met, components, least), sets, least))
     release_shuffles(spark)
+    fresh = stored(_across(met, components, least).distinct().join(tried.toDF("_a", "_b"), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti"), "shingle-pairs")
+    links = stars.union(_verified(fresh, sets, least))
     found = stored(connected_components(links), "shingle-components")
-    joined = marked.drop(HASHES).join(found, F.col(SET) == F.col("node"), "left")
+    for old in (met, tried, fresh, sets, stars, components):
+        drop_stored(old)
+    release_shuffles(spark)
+    joined = marked.join(found, F.col(SET) == F.col("node"), "left")
     return joined.select(*df.columns, ROW, F.coalesce("component", SET).alias(GROUP))
