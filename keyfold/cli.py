@@ -5,21 +5,22 @@ from __future__ import annotations
 import sys
 from typing import TextIO
 
-USAGE = """usage: keyfold <command> <dir> [args]
-  put <dir> <key> <value>   stores a pair and prints ok
-  get <dir> <key>           prints the value; exit 1 without one
-  delete <dir> <key>        deletes a key and prints ok
-  scan <dir> [from] [to]    prints key and value, tab-separated, for keys in [from, to)
-  compact <dir>             compacts the table
-  info <dir>                prints the number of keys and of runs
-"""
-ARGUMENTS = {"put": (4, 4), "get": (3, 3), "delete": (3, 3), "scan": (2, 4), "compact": (2, 2), "info": (2, 2)}
+#: Words that each command takes after its name, required and optional, and what it does.
+COMMANDS = {
+    "put": (["TABLE", "KEY", "VALUE"], [], "write one pair; answers ok"),
+    "get": (["TABLE", "KEY"], [], "show the value of a key; exit status 1 if it has none"),
+    "delete": (["TABLE", "KEY"], [], "remove a key; answers ok"),
+    "scan": (["TABLE"], ["FROM", "TO"], "list pairs in key order, FROM included, TO not; an empty word is no bound"),
+    "compact": (["TABLE"], [], "merge all runs that are due and level 0"),
+    "info": (["TABLE"], [], "live keys, run files and deepest level"),
+}
+USAGE = "usage: python -m keyfold.cli COMMAND TABLE ...\n" + "".join(f"{name} {' '.join([*need, *(f'[{x}]' for x in more)])}: {what}\n" for name, (need, more, what) in COMMANDS.items())
 
 
 def run(args: list[str], out: TextIO, err: TextIO, spark=None) -> int:
     """Runs one command; 0 done, 1 absent key, 2 wrong usage. An empty bound is open."""
-    low, high = ARGUMENTS.get(args[0], (0, -1)) if args else (0, -1)
-    if not low <= len(args) <= high:
+    need, more, _ = COMMANDS.get(args[0], (None, None, None)) if args else (None, None, None)
+    if need is None or not len(need) <= len(args) - 1 <= len(need) + len(more):
         err.write(USAGE)
         return 2
     from keyfold.operators.table import KVTable
@@ -49,7 +50,7 @@ def run(args: list[str], out: TextIO, err: TextIO, spark=None) -> int:
             table.compact()
         else:
             counts = table.run_counts()
-            out.write(f"keys: {table.size()}\nruns: {sum(counts.values())} over {len(counts)} levels\n")
+            out.write(f"live_keys={table.size()} run_files={sum(counts.values())} deepest_level={max(counts, default=-1)}\n")
     return 0
 
 

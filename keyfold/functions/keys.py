@@ -42,6 +42,11 @@ def in_range(key: Column, low: bytes | None, high: bytes | None) -> Column:
     return out
 
 
+def hex_text(key: Column) -> Column:
+    """Bytes as lower-case hexadecimal text, whose order is the byte order."""
+    return F.lower(F.hex(key))
+
+
 def scattered_key(number: int) -> bytes:
     """A fixed-width key that spreads consecutive numbers over the key space, for benchmarks."""
     return b"key%013d" % ((number * 0x9E3779B97F4A7C15) % 10**13)

@@ -13,6 +13,11 @@ def nearest_rank(column: str, share: float) -> Column:
     return F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {column})")
 
 
+def median(values: list[float]) -> float:
+    """The middle value, the upper of two middles."""
+    return sorted(values)[len(values) // 2]
+
+
 @dataclass
 class IoStats:
     """Bytes since the table was opened: given by callers, and written to the log, by flushes and by compactions."""

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import shutil
 import threading
+from collections.abc import Callable
 from collections import Counter
 from contextlib import suppress
 from pathlib import Path
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from keyfold.functions.keys import as_bytes, is_empty_range, successor
@@ -24,6 +25,9 @@ from keyfold.sources.oplog import OpLog
 FLUSH_THRESHOLD = 100_000
 RUN_ENTRIES = 4_000_000
 STALL_POLL_S = 0.1
+#: The most files that an ordered scan reads one after the other instead of sorting.
+MOST_ORDERED_FILES = 64
+REFUSED, REPEATED = "null keys, null values of puts, null order or unknown operations", "repeated keys need order_by"
 
 
 class ClosedTable(Exception):
@@ -69,8 +73,27 @@ class Snapshot:
     def scan(self, low: bytes | str | None = None, high: bytes | str | None = None, limit: int | None = None) -> DataFrame:
         """The live rows of [low, high) in key order; a missing bound is open, a reversed range empty."""
         low, high = (None if x is None else as_bytes(x) for x in (low, high))
-        out = self.live(low, high).orderBy("key")
-        return out if limit is None else out.limit(limit)
+        if limit is not None:
+            return self.live(low, high).orderBy("key").limit(limit)
+        files = self._in_order(low, high)
+        if files is None:
+            return self.live(low, high).orderBy("key")
+        out = files[0]
+        for x in files[1:]:
+            out = out.unionByName(x)
+        return out
+
+    def _in_order(self, low: bytes | None, high: bytes | None) -> list[DataFrame] | None:
+        """The live rows by file, in key order, where disjoint sorted files are all there is to read; else None.
+
+        The splits of one file are read in the order of their offsets, so that a scan needs no sort.
+        """
+        chosen = sorted(rn.prune(self.manifest.runs, low, high), key=lambda r: r.first_key)
+        buffered = any((low is None or k >= low) and (high is None or k < high) for k in self._buffer)
+        if is_empty_range(low, high) or buffered or not 0 < len(chosen) <= MOST_ORDERED_FILES or not rn.disjoint(chosen):
+            return None
+        read = lambda r: rn.read_runs(self.spark, self._table.path, [r], low, high)
+        return [resolve.without_deletes(read(r)).select("key", "value") for r in chosen]
 
     def prefix_scan(self, prefix: bytes | str) -> DataFrame:
         prefix = as_bytes(prefix)
@@ -120,6 +143,11 @@ class KVTable:
     Single mutations go to a log and a buffer, which becomes a level 0 run once it holds
     ``flush_threshold`` distinct keys. ``put_all``, ``delete_all`` and ``apply_all`` write
     a DataFrame as a run directly. The folder has to be on a file system with hard links.
+
+    Writers take turns by one lock, which they hold through their Spark jobs. The state
+    that readers see is swapped under another one, held for moments only, so no reader
+    waits for a job. DataFrames of ``scan``, ``live`` and the like pin the runs they are
+    made of until ``release_scans``, and snapshots until they are released.
     """
 
     def __init__(self, spark: SparkSession, path: Path, flush_threshold: int, run_entries: int, fsync: bool, background: bool) -> None:
@@ -129,7 +157,9 @@ class KVTable:
         self.compactions = self.write_stalls = 0
         self._lock = threading.RLock()
         self._changed = threading.Condition(self._lock)
+        self._writer = threading.RLock()
         self._pins: Counter[int] = Counter()
+        self._scans: list[Snapshot] = []
         self._buffer: dict[bytes, tuple[str, bytes | None]] = {}
         self._closed = False
         self._failure: Exception | None = None
@@ -168,8 +198,7 @@ class KVTable:
                     top = max(top, level_seq[1])
             return mf.commit(self.path, mf.Manifest(1, top + 1, tuple(metas)))
         mf.check(self.path, found)
-        kept = {r.path.split("/")[0] for v in mf.versions(self.path) for r in mf.read(self.path, v).runs}
-        for name in folders - kept:
+        for name in folders - mf.named_folders(self.path):
             if mf.parse_name(name):
                 shutil.rmtree(self.path / mf.RUNS / name, ignore_errors=True)
         return found
@@ -189,11 +218,25 @@ class KVTable:
             self._pins[version] -= 1
 
     def _view(self) -> Snapshot:
+        """A snapshot whose pin lasts until ``release_scans``, for DataFrames that run later."""
+        held = self.snapshot()
         with self._lock:
-            self._check()
-            return Snapshot(self, self._manifest, dict(self._buffer))
+            self._scans.append(held)
+        return held
+
+    def release_scans(self) -> None:
+        """Gives up the pins of all DataFrames handed out so far; after the next vacuum they may not run any more."""
+        with self._lock:
+            held, self._scans = self._scans, []
+        for s in held:
+            s.release()
 
     def get(self, key: bytes | str) -> bytes | None:
+        key = as_bytes(key)
+        with self._lock:
+            self._check()
+            if key in self._buffer:
+                return self._buffer[key][1]
         with self.snapshot() as s:
             return s.get(key)
 
@@ -235,29 +278,29 @@ class KVTable:
         self._mutate(DELETE, as_bytes(key), None)
 
     def _mutate(self, op: str, key: bytes, value: bytes | None) -> None:
-        with self._lock:
+        with self._writer:
             self._check()
             before = self._log.appended
             self._log.append(op, key, value)
             self.stats.wal += self._log.appended - before
             self.stats.logical += len(key) + len(value or b"")
-            self._buffer[key] = (op, value)
+            with self._lock:
+                self._buffer[key] = (op, value)
             if len(self._buffer) >= self.flush_threshold:
                 self.flush()
         self._after_write()
 
     def flush(self) -> None:
         """Writes the buffer as a level 0 run; does nothing if it is empty."""
-        with self._lock:
+        with self._writer:
             self._check()
             if not self._buffer:
                 return
             seq = self._manifest.next_seq
             rows = [(k, seq, op, v) for k, (op, v) in sorted(self._buffer.items())]
-            self._publish(self.spark.createDataFrame(rows, CHANGELOG), len(rows), seq, {})
-            self._buffer = {}
+            added = rn.write_run(self.spark.createDataFrame(rows, CHANGELOG), self.path, 0, seq, max(self.run_entries, RUN_ENTRIES), 1)
+            self._publish(added, seq, {}, empties_buffer=True)
             self._log.reset()
-            self._changed.notify_all()
 
     def put_all(self, df: DataFrame, order_by: str | None = None) -> int:
         """Puts the rows (key, value) of a DataFrame in one commit and returns their number.
@@ -278,7 +321,7 @@ class KVTable:
         ``batch`` (stream name, number) makes it idempotent: a number at or below the
         last one taken from that stream is skipped.
         """
-        with self._lock:
+        with self._writer:
             self._check()
             if batch is not None and batch[1] <= self._manifest.batches.get(batch[0], -1):
                 return 0
@@ -288,40 +331,50 @@ class KVTable:
             value = F.when(F.col("op") == PUT, F.col("value").cast("binary"))
             rows = df.select(F.col("key").cast("binary").alias("key"), "op", value.alias("value"), order.alias("_seq"))
             bad = F.col("key").isNull() | ~F.coalesce(F.col("op").isin(PUT, DELETE), F.lit(False)) | ((F.col("op") == PUT) & F.col("value").isNull()) | F.col("_seq").isNull()
-            won = rows.groupBy("key").agg(F.max(F.struct("_seq", "op", "value")).alias("w"), F.count("*").alias("n"), F.max(bad.cast("int")).alias("bad"), F.sum(F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))).alias("bytes"))
-            won = won.persist()
-            try:
-                n, most, wrong, size = won.agg(F.count("*"), F.max("n"), F.max("bad"), F.sum("bytes")).first()
-                if wrong:
-                    raise ValueError("null keys, null values of puts, null order or unknown operations")
-                if order_by is None and (most or 0) > 1:
-                    raise ValueError("repeated keys need order_by")
-                batches = {} if batch is None else {batch[0]: batch[1]}
-                if n or batches:
-                    self._publish(won.select("key", F.lit(seq).cast("long").alias("seq"), "w.op", "w.value"), n, seq, batches)
-                self.stats.logical += size or 0
-            finally:
-                won.unpersist()
-            self._changed.notify_all()
+            # counted before the shuffle on the key, which runs once: the stage after it also runs for the ranges
+            counted = Observation()
+            rows = rows.observe(counted, F.sum(F.coalesce(F.octet_length("key"), F.lit(0)) + F.coalesce(F.octet_length("value"), F.lit(0))).alias("bytes"))
+            won = rows.groupBy("key").agg(F.max(F.struct("_seq", "op", "value")).alias("w"), F.count("*").alias("n"), F.max(bad.cast("int")).alias("bad"))
+            op = F.when(F.col("bad") > 0, F.raise_error(F.lit(REFUSED)).cast("string"))
+            if order_by is None:
+                op = op.when(F.col("n") > 1, F.raise_error(F.lit(REPEATED)).cast("string"))
+            won = won.select("key", F.lit(seq).cast("long").alias("seq"), op.otherwise(F.col("w.op")).alias("op"), F.col("w.value").alias("value"))
+            added = self._checked(lambda: rn.write_run(won, self.path, 0, seq, max(self.run_entries, RUN_ENTRIES), rn.estimated_files(rows)))
+            batches = {} if batch is None else {batch[0]: batch[1]}
+            if added or batches:
+                self._publish(added, seq, batches)
+            self.stats.logical += counted.get["bytes"] or 0
         self._after_write()
-        return n
+        return sum(r.entries for r in added)
 
-    def _publish(self, rows: DataFrame, entries: int, seq: int, batches: dict[str, int]) -> None:
-        added = rn.write_run(rows, self.path, 0, seq, entries, max(self.run_entries, RUN_ENTRIES)) if entries else []
-        self.stats.flush += sum(r.size for r in added)
-        self._commit(added, set(), next_seq=seq + 1, batches=self._manifest.batches | batches)
+    @staticmethod
+    def _checked(write: Callable):
+        """Runs a write whose plan raises on mutations that are not allowed, as a ValueError."""
+        try:
+            return write()
+        except (PySparkException, Py4JJavaError) as e:
+            for message in (REFUSED, REPEATED):
+                if message in str(e):
+                    raise ValueError(message) from None
+            raise
+
+    def _publish(self, added: list, seq: int, batches: dict[str, int], empties_buffer: bool = False) -> None:
+        """Commits new level 0 files; readers see them and the emptied buffer at once."""
+        with self._lock:
+            self.stats.flush += sum(r.size for r in added)
+            self._commit(added, set(), next_seq=seq + 1, batches=self._manifest.batches | batches)
+            if empties_buffer:
+                self._buffer = {}
+            self._changed.notify_all()
 
     def _commit(self, added, removed: set[str], **more) -> None:
-        self._manifest = mf.commit(self.path, self._manifest.with_runs(added, removed, **more))
+        self._manifest = mf.commit(self.path, self._manifest.with_runs(added, removed, **more), self._manifest)
 
     # ---- compaction
 
     def compact(self) -> None:
         """Works off all that is due, then moves level 0 down whatever its size."""
-        with self._lock:
-            self._check()
-            if self._buffer:
-                self.flush()
+        self.flush()
         while self._compact_once(force=True):
             pass
 
@@ -337,8 +390,8 @@ class KVTable:
             won = changes if rn.disjoint(list(job.inputs)) else resolve.newest(changes)
             if job.drop_tombstones:
                 won = resolve.without_deletes(won)
-            entries = sum(r.entries for r in job.inputs)
-            added = self._run(lambda: rn.write_run(won, self.path, job.target, seq, entries, self.run_entries))
+            files = max(-(-sum(r.size for r in job.inputs) // rn.RUN_BYTES), -(-sum(r.entries for r in job.inputs) // self.run_entries))
+            added = self._run(lambda: rn.write_run(won, self.path, job.target, seq, self.run_entries, files))
             with self._lock:
                 self._commit(added, {r.path for r in job.inputs})
                 self.stats.compaction += sum(r.size for r in added)
@@ -373,18 +426,17 @@ class KVTable:
                 return
 
     def vacuum(self, keep_versions: int = 1) -> int:
-        """Deletes old versions that no snapshot pins, and run folders that no kept version names; returns the folders deleted.
+        """Deletes old versions that nothing pins, and run folders that no kept version names; returns the folders deleted.
 
-        DataFrames of ``scan`` and the like that were made before and not yet run lose
-        their files; a snapshot keeps them.
+        Snapshots that are not released and DataFrames handed out before the last
+        ``release_scans`` keep their files. Files that kept versions are read from stay.
         """
-        with self._busy, self._lock:
+        with self._busy, self._writer, self._lock:
             self._check()
             known = mf.versions(self.path)
             recent = set(known[-max(1, keep_versions) :])
-            kept = [v for v in known if v in recent or self._pins[v] > 0]
-            named = {r.path.split("/")[0] for v in kept for r in mf.read(self.path, v).runs}
-            for v in set(known) - set(kept):
+            files, named = mf.needed(self.path, [v for v in known if v in recent or self._pins[v] > 0])
+            for v in set(known) - files:
                 mf.drop_version(self.path, v)
             gone = [x for x in mf.run_folders(self.path) if x not in named]
             for name in gone:
@@ -406,6 +458,13 @@ class KVTable:
         rows = [(r.path, r.level, r.seq, r.entries, r.size, bytearray(r.first_key), bytearray(r.last_key), r.tombstones) for r in self._manifest.runs]
         return self.spark.createDataFrame(rows, "path string, level int, run_seq long, entries long, bytes long, first_key binary, last_key binary, tombstones long")
 
+    def overview(self) -> DataFrame:
+        """metric, value: version, runs, populated levels, deepest level (-1 without runs), live-or-dead entries, buffered mutations, compactions, stalls."""
+        with self._lock:
+            runs, counts = self._manifest.runs, self.run_counts()
+            rows = [("version", self._manifest.version), ("run_files", len(runs)), ("populated_levels", len(counts)), ("deepest_level", planner.deepest(runs)), ("entries", sum(r.entries for r in runs)), ("tombstones", sum(r.tombstones for r in runs)), ("buffered", len(self._buffer)), ("compactions", self.compactions), ("write_stalls", self.write_stalls)]
+        return self.spark.createDataFrame(rows, "metric string, value long")
+
     def io_stats(self) -> DataFrame:
         return self.spark.createDataFrame(self.stats.rows(), "metric string, value double")
 

@@ -38,9 +38,9 @@ def deepest(runs: Iterable[RunMeta]) -> int:
 def plan(runs: Iterable[RunMeta], force: bool = False) -> Job | None:
     """The next job: level 0 once it has enough runs (any, if forced), else the shallowest level over its budget.
 
-    Level 0 goes down as a whole, a deeper level by its run with the least first key. All
-    runs of the target that overlap the inputs join in. Runs in the target count by key
-    range, so several files that one job wrote do not trigger each other.
+    Level 0 goes down as a whole, a deeper level by as many runs as it is over its budget,
+    those with the least first keys, in one job. All runs of the target within the range
+    of the inputs join in, so the files of the target stay disjoint.
     """
     runs = list(runs)
     level0 = at_level(runs, 0)
@@ -51,7 +51,8 @@ def plan(runs: Iterable[RunMeta], force: bool = False) -> Job | None:
         if not over:
             return None
         source = over[0]
-        picked = [min(at_level(runs, source), key=lambda r: r.first_key)]
+        level = sorted(at_level(runs, source), key=lambda r: r.first_key)
+        picked = level[: len(level) - budget(source)]
     target = source + 1
     first, last = min(r.first_key for r in picked), max(r.last_key for r in picked)
     inputs = (*picked, *(r for r in at_level(runs, target) if r.overlaps(first, last)))

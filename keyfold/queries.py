@@ -21,8 +21,11 @@ from keyfold.functions.stats import nearest_rank
 from keyfold.operators.table import KVTable
 from keyfold.plans import resolve
 from keyfold.sources.oplog import OVERHEAD
+from keyfold.streaming.sink import table_sink
 
 LAYERS = 4
+#: Commits that do not set off a compaction yet.
+FEW = 3
 
 
 def changelog(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,10 +85,10 @@ def kv_compact_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(resolve.without_deletes(resolve.newest(changelog(spark, sf_dir))))
 
 
-def _layer(changes: DataFrame):
-    """The layer of a row: LAYERS contiguous spans of the sequence."""
+def _layer(changes: DataFrame, layers: int = LAYERS):
+    """The layer of a row: contiguous spans of the sequence."""
     last = changes.agg(F.max("seq")).first()[0] or 0
-    return (F.col("seq") * LAYERS / F.lit(last + 1)).cast("int")
+    return (F.col("seq") * layers / F.lit(last + 1)).cast("int")
 
 
 def kv_layered_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,13 +106,19 @@ def kv_layer_of_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(resolve.newest(changes).select("key", _layer(changes).alias("layer"), "op"))
 
 
+def _cut(changes: DataFrame) -> int:
+    """The sequence that seven tenths of the sequence span lie below."""
+    return -(-7 * (changes.agg(F.max("seq")).first()[0] or 0) // 10)
+
+
 def kv_prefix_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(resolve.prefix_state(changelog(spark, sf_dir), 700))
+    changes = changelog(spark, sf_dir)
+    return shown(resolve.prefix_state(changes, _cut(changes)))
 
 
 def kv_replay_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = changelog(spark, sf_dir)
-    return shown(resolve.live(changes.unionByName(changes.where("seq < 700"))))
+    return shown(resolve.live(changes.unionByName(changes.where(F.col("seq") < _cut(changes)))))
 
 
 def kv_overwrite_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +154,7 @@ def kv_orders_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     value = text_key(F.concat_ws("|", "o_orderstatus", "o_orderpriority"))
     changes = orders.select(fixed_width_key("o", F.col("o_orderkey")).alias("key"), F.col("o_orderkey").alias("seq"), F.lit("P").alias("op"), value.alias("value"))
-    return shown(resolve.live(changes.where(in_range(F.col("key"), b"o0000000000100", b"o0000000000900"))).orderBy("key"))
+    return shown(resolve.live(changes).orderBy("key"))
 
 
 def kv_customer_get(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,25 +180,111 @@ def table_folder(spark: SparkSession) -> str:
     return os.path.join(root, f"table-{uuid.uuid4().hex}")
 
 
-def _written(read):
-    """Writes the changelog as four commits through a table, compacts it, and returns what ``read`` makes of it."""
+def _folder(spark: SparkSession) -> str:
+    folder = table_folder(spark)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def _load(table: KVTable, changes: DataFrame, commits: int = LAYERS) -> list[int]:
+    """Applies the changelog as so many commits, oldest first; the version after each."""
+    layer, versions = _layer(changes, commits), []
+    for k in range(commits):
+        table.apply_all(changes.where(layer == k), order_by="seq")
+        versions.append(table.version)
+    return versions
+
+
+def _written(read, compacted: bool = True):
+    """Writes the changelog as commits through a table, compacts it, and returns what ``read`` makes of it."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        changes = changelog(spark, sf_dir)
-        layer = _layer(changes)
-        folder = table_folder(spark)
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        with KVTable.open(spark, folder) as table:
-            for k in range(LAYERS):
-                table.apply_all(changes.where(layer == k), order_by="seq")
-            table.compact()
-            return shown(read(table))
+        with KVTable.open(spark, _folder(spark)) as table:
+            _load(table, changelog(spark, sf_dir), LAYERS if compacted else FEW)
+            if compacted:
+                table.compact()
+            return shown(read(table, spark, sf_dir))
 
     return query
 
 
 def _key_value(low: bytes | None, high: bytes | None):
-    return lambda table: table.scan(low, high)
+    return lambda table, spark, sf_dir: table.scan(low, high)
+
+
+def _gets(table: KVTable, spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(k, table.get(k)) for k in (b"u00001/003", b"u00002/004", b"u00001/099")]
+    return spark.createDataFrame(rows, "key binary, value binary")
+
+
+def kv_table_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state after half of the commits, read by its version after the others and a compaction."""
+    with KVTable.open(spark, _folder(spark)) as table:
+        versions = _load(table, changelog(spark, sf_dir))
+        table.compact()
+        return shown(table.snapshot(versions[LAYERS // 2 - 1]).live())
+
+
+def _single(spark: SparkSession, sf_dir: str, table: KVTable) -> None:
+    """Sends every mutation one by one, streamed through the driver: that is what the log and the buffer are for."""
+    for r in changelog(spark, sf_dir).orderBy("seq").toLocalIterator():
+        if r["op"] == "P":
+            table.put(bytes(r["key"]), bytes(r["value"]))
+        else:
+            table.delete(bytes(r["key"]))
+
+
+def kv_table_log_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single mutations that only the log holds when the table is closed; the state after it is opened again."""
+    folder = _folder(spark)
+    with KVTable.open(spark, folder, flush_threshold=1 << 40, fsync=False) as table:
+        _single(spark, sf_dir, table)
+    with KVTable.open(spark, folder) as table:
+        return shown(table.live())
+
+
+def kv_table_flush_crash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crash after a flush was committed and before its log was emptied: the log is replayed over the run."""
+    folder = _folder(spark)
+    log = os.path.join(folder, "wal.log")
+    with KVTable.open(spark, folder, flush_threshold=1 << 40, fsync=False) as table:
+        _single(spark, sf_dir, table)
+        shutil.copy(log, log + ".kept")
+        table.flush()
+    os.replace(log + ".kept", log)
+    with KVTable.open(spark, folder) as table:
+        return shown(table.live())
+
+
+def kv_table_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The changelog as micro-batches of a stream; the last two are sent again, as after a restart."""
+    changes = changelog(spark, sf_dir)
+    layer = _layer(changes)
+    with KVTable.open(spark, _folder(spark)) as table:
+        sink = table_sink(table, "events", "seq")
+        for k in [*range(LAYERS), LAYERS - 2, LAYERS - 1]:
+            sink(changes.where(layer == k), k)
+        return shown(table.live())
+
+
+def kv_table_delete_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with KVTable.open(spark, _folder(spark)) as table:
+        _load(table, changelog(spark, sf_dir))
+        table.delete_all(_wanted(spark, sf_dir))
+        table.compact()
+        return shown(table.live())
+
+
+def kv_table_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crash after a compaction wrote its run and before it was committed: the old state, without the orphan."""
+    folder, copy = _folder(spark), _folder(spark)
+    with KVTable.open(spark, folder) as table:
+        _load(table, changelog(spark, sf_dir), FEW)
+        shutil.copytree(folder, copy)
+        table.compact()
+    shutil.copytree(os.path.join(folder, "runs"), os.path.join(copy, "runs"), dirs_exist_ok=True)
+    with KVTable.open(spark, copy) as table:
+        return shown(table.live())
 
 
 QUERIES = {
@@ -204,7 +299,18 @@ QUERIES = {
     **{q.__name__: q for q in (kv_multi_get, kv_multi_get_misses, kv_size, kv_tombstones, kv_compact_keep, kv_compact_drop, kv_layered_scan, kv_layer_of_winner, kv_prefix_state, kv_replay_idempotent, kv_overwrite_counts, kv_layer_stats, kv_range_overlap, kv_io_bytes, kv_space_amp, kv_orders_scan, kv_customer_get, kv_latency_pct)},
     "kv_table_scan": _written(_key_value(None, None)),
     "kv_table_range": _written(_key_value(b"u00003", b"u00009/010")),
-    "kv_table_size": _written(lambda t: t.live().agg(F.count("*").alias("n"))),
+    "kv_table_size": _written(lambda t, *_: t.live().agg(F.count("*").alias("n"))),
+    "kv_table_size_uncompacted": _written(lambda t, spark, _: spark.createDataFrame([(t.size(),)], "n long"), compacted=False),
+    "kv_table_scan_uncompacted": _written(_key_value(None, None), compacted=False),
+    "kv_table_get": _written(_gets),
+    "kv_table_get_uncompacted": _written(_gets, compacted=False),
+    "kv_table_multi_get": _written(lambda t, spark, sf_dir: t.multi_get(_wanted(spark, sf_dir))),
+    "kv_table_multi_get_misses": _written(lambda t, spark, sf_dir: t.multi_get_misses(_wanted(spark, sf_dir)), compacted=False),
+    "kv_table_prefix": _written(lambda t, *_: t.prefix_scan("u00003/")),
+    "kv_table_range_reversed": _written(_key_value(b"u00009", b"u00003"), compacted=False),
+    "kv_table_entries": _written(lambda t, *_: t.describe().agg(F.sum("entries").alias("entries"), F.sum("tombstones").alias("tombstones"), F.min("first_key").alias("first_key"), F.max("last_key").alias("last_key"))),
+    "kv_table_tombstones": _written(lambda t, *_: resolve.tombstones(t._view().changes()[0]).select("key"), compacted=False),
+    **{q.__name__: q for q in (kv_table_snapshot, kv_table_log_replay, kv_table_flush_crash, kv_table_stream, kv_table_delete_all, kv_table_orphans)},
 }
 
 _L = """WITH l AS (
@@ -219,6 +325,7 @@ y AS (SELECT *, cast(floor(seq * 4.0 / ((SELECT max(event_id) FROM events) + 1))
 s AS (SELECT layer, count(*) AS entries, count(*) FILTER (WHERE op = 'D') AS tombstones, min(key) AS first_key, max(key) AS last_key FROM y GROUP BY layer)
 """
 _LIVE = _L + "SELECT key, value FROM live"
+_GETS = _L + "SELECT g.key, live.value FROM (VALUES ('u00001/003'), ('u00002/004'), ('u00001/099')) AS g(key) LEFT JOIN live ON live.key = g.key"
 _SIZES = "coalesce(sum(strlen(key) + coalesce(strlen(value), 0)), 0)"
 
 SQL = {
@@ -238,17 +345,33 @@ SQL = {
     "kv_compact_drop": _L + "SELECT key, seq, op, value FROM w WHERE op = 'P'",
     "kv_layered_scan": _LIVE,
     "kv_layer_of_winner": _L + "SELECT w.key, y.layer, w.op FROM w JOIN y ON y.seq = w.seq",
-    "kv_prefix_state": _L + "SELECT key, value FROM l WHERE seq < 700 QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1 AND op = 'P'",
+    "kv_prefix_state": _L + "SELECT key, value FROM l WHERE seq * 10 < 7 * (SELECT max(event_id) FROM events) QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1 AND op = 'P'",
     "kv_replay_idempotent": _LIVE,
     "kv_overwrite_counts": _L + "SELECT key, count(*) AS mutations FROM l WHERE key IN (SELECT key FROM live) GROUP BY key",
     "kv_layer_stats": _L + "SELECT * FROM s",
     "kv_range_overlap": _L + "SELECT a.layer, b.layer AS other FROM s a JOIN s b ON a.layer < b.layer AND a.first_key <= b.last_key AND b.first_key <= a.last_key",
     "kv_io_bytes": _L + f"SELECT cast({_SIZES} AS bigint) AS logical, cast({_SIZES} + 17 * count(*) AS bigint) AS wal FROM l",
     "kv_space_amp": _L + f", b AS (SELECT {_SIZES} AS n FROM l), c AS (SELECT {_SIZES} AS n FROM live) SELECT cast(b.n AS bigint) AS all_bytes, cast(c.n AS bigint) AS live_bytes, round(b.n / c.n, 6) AS amplification FROM b, c",
-    "kv_orders_scan": "SELECT printf('o%013d', o_orderkey) AS key, o_orderstatus || '|' || o_orderpriority AS value FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 900",
+    "kv_orders_scan": "SELECT printf('o%013d', o_orderkey) AS key, o_orderstatus || '|' || o_orderpriority AS value FROM orders",
     "kv_customer_get": "SELECT printf('c%013d', c_custkey) AS key, c_name AS value FROM customer WHERE c_custkey = 42",
     "kv_latency_pct": "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.99) AS p99, quantile_disc(value, 0.999) AS p999 FROM events WHERE value IS NOT NULL GROUP BY event_type",
     "kv_table_scan": _LIVE,
     "kv_table_range": _LIVE + " WHERE key >= 'u00003' AND key < 'u00009/010'",
     "kv_table_size": _L + "SELECT count(*) AS n FROM live",
+    "kv_table_size_uncompacted": _L + "SELECT count(*) AS n FROM live",
+    "kv_table_scan_uncompacted": _LIVE,
+    "kv_table_get": _GETS,
+    "kv_table_get_uncompacted": _GETS,
+    "kv_table_multi_get": _LIVE + " WHERE key IN (SELECT key FROM k)",
+    "kv_table_multi_get_misses": _L + "SELECT key FROM k WHERE NOT EXISTS (SELECT 1 FROM live WHERE live.key = k.key)",
+    "kv_table_prefix": _LIVE + " WHERE starts_with(key, 'u00003/')",
+    "kv_table_range_reversed": _LIVE + " WHERE key >= 'u00009' AND key < 'u00003'",
+    "kv_table_entries": _L + "SELECT count(*) AS entries, cast(0 AS bigint) AS tombstones, min(key) AS first_key, max(key) AS last_key FROM live",
+    "kv_table_tombstones": _L + "SELECT key FROM w WHERE op = 'D'",
+    "kv_table_snapshot": _L + "SELECT key, value FROM y WHERE layer < 2 QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1 AND op = 'P'",
+    "kv_table_log_replay": _LIVE,
+    "kv_table_flush_crash": _LIVE,
+    "kv_table_stream": _LIVE,
+    "kv_table_delete_all": _LIVE + " WHERE key NOT IN (SELECT key FROM k)",
+    "kv_table_orphans": _LIVE,
 }

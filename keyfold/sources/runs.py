@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import shutil
 from collections.abc import Iterable
 from pathlib import Path
 from urllib.parse import unquote, urlparse
@@ -15,8 +16,11 @@ from keyfold.plans.schema import CHANGELOG, DELETE, RunMeta
 from keyfold.sources import manifest
 
 PAGE_ROWS = 1_000
+#: About the bytes of a run file.
+RUN_BYTES = 64 << 20
 WRITE_OPTIONS = {
     "parquet.bloom.filter.enabled#key": "true",
+    "parquet.bloom.filter.adaptive.enabled": "true",
     "parquet.page.row.count.limit": str(PAGE_ROWS),
     "parquet.page.write-checksum.enabled": "true",
 }
@@ -35,22 +39,33 @@ def read_changelog(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.schema(CHANGELOG).options(**READ_OPTIONS).parquet(*paths)
 
 
-def write_run(changes: DataFrame, table: Path, level: int, seq: int, entries: int, run_entries: int) -> list[RunMeta]:
+def estimated_files(df: DataFrame) -> int:
+    """How many files the optimizer's size of a plan makes, at most one for each shuffle partition."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(1, min(-(-size // RUN_BYTES), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def write_run(changes: DataFrame, table: Path, level: int, seq: int, run_entries: int, files: int) -> list[RunMeta]:
     """Writes rows with unique keys as one or more disjoint sorted files and describes each file.
 
-    A file has about ``run_entries`` rows; a hot range of keys is split like any other,
-    since keys are unique. The descriptions come from one aggregate over the files'
-    keys, a row for each file.
+    Rows are dealt out by ``files`` ranges of the key, and a file has at most
+    ``run_entries`` rows; a hot range of keys is split like any other, since keys are
+    unique. The descriptions come from one aggregate over the files' keys, a row for each
+    file. Without rows, and if the write fails, no folder stays.
     """
     spark = changes.sparkSession
     folder = manifest.folder_name(level, seq)
     rows = changes.select("key", "seq", "op", "value")
-    if entries > run_entries:
-        rows = rows.repartitionByRange(-(-entries // run_entries), "key")
-    else:
-        rows = rows.coalesce(1)
-    rows.sortWithinPartitions("key").write.options(**WRITE_OPTIONS).option("parquet.bloom.filter.expected.ndv#key", max(1, min(entries, run_entries))).option("maxRecordsPerFile", run_entries).parquet(uri(table, folder))
-    return describe_folder(spark, table, folder, level, seq)
+    rows = rows.repartitionByRange(files, "key") if files > 1 else rows.repartition(1)
+    try:
+        rows.sortWithinPartitions("key").write.options(**WRITE_OPTIONS).option("maxRecordsPerFile", run_entries).parquet(uri(table, folder))
+        out = describe_folder(spark, table, folder, level, seq)
+    except BaseException:
+        shutil.rmtree(table / manifest.RUNS / folder, ignore_errors=True)
+        raise
+    if not out:
+        shutil.rmtree(table / manifest.RUNS / folder, ignore_errors=True)
+    return out
 
 
 def describe_folder(spark: SparkSession, table: Path, folder: str, level: int, seq: int) -> list[RunMeta]:

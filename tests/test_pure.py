@@ -1,6 +1,8 @@
 """The parts without Spark: keys, log, manifest, planner."""
 
 import random
+import struct
+import zlib
 
 import pytest
 
@@ -9,7 +11,7 @@ from keyfold.functions.stats import IoStats
 from keyfold.plans import planner
 from keyfold.plans.schema import RunMeta
 from keyfold.sources import manifest as mf
-from keyfold.sources.oplog import OVERHEAD, OpLog, decode_records, encode_record
+from keyfold.sources.oplog import OVERHEAD, OpLog, UnknownRecord, decode_records, encode_record
 
 
 def ops(seed, n=60, keys=10):
@@ -78,6 +80,32 @@ def test_manifest_commits_once_and_damage_is_fatal(tmp_path):
         mf.read(tmp_path)
 
 
+def test_deltas_replay_to_the_same_versions_and_vacuum_keeps_their_chain(tmp_path, monkeypatch):
+    monkeypatch.setattr(mf, "CHECKPOINT_EVERY", 5)
+    r, m, known = random.Random(3), mf.commit(tmp_path, mf.Manifest(1, 1)), {}
+    for seq in range(2, 20):
+        gone = {x.path for x in m.runs if r.random() < 0.3}
+        m = mf.commit(tmp_path, m.with_runs([meta(0, seq, b"a%d" % seq, b"z%d" % seq)], gone, next_seq=seq, batches={"s": seq}), m)
+        known[m.version] = m
+    assert all(mf.read(tmp_path, v) == x for v, x in known.items())
+    sizes = [len((tmp_path / mf.FOLDER / f"v{v:012d}.json").read_bytes()) for v in (10, 11)]
+    assert sizes[1] < sizes[0]
+    files, folders = mf.needed(tmp_path, [13, 19])
+    assert files == {10, 11, 12, 13, 15, 16, 17, 18, 19} and folders <= mf.named_folders(tmp_path)
+    for v in set(mf.versions(tmp_path)) - files:
+        mf.drop_version(tmp_path, v)
+    assert mf.read(tmp_path, 13) == known[13] and mf.read(tmp_path) == known[19]
+
+
+def test_a_record_of_unknown_type_is_an_error_and_nothing_is_cut(tmp_path):
+    payload = struct.pack(">bi", 7, 1) + b"k" + struct.pack(">i", -1)
+    data = encode_record("P", b"a", b"1") + struct.pack(">iI", len(payload), zlib.crc32(payload)) + payload + encode_record("P", b"b", b"2")
+    (tmp_path / "wal.log").write_bytes(data)
+    with pytest.raises(UnknownRecord, match="type 7"):
+        OpLog(tmp_path / "wal.log").recover()
+    assert (tmp_path / "wal.log").read_bytes() == data
+
+
 def test_names():
     assert mf.parse_name(mf.folder_name(2, 17)) == (2, 17)
     assert mf.parse_name("run-1-2-x") is None and mf.parse_name("tmp") is None
@@ -95,6 +123,9 @@ def test_planner_rules():
     wide = [meta(1, 9, bytes([97 + 2 * k]), bytes([98 + 2 * k])) for k in range(5)]
     job = planner.plan(wide)
     assert job.target == 2 and job.inputs == (wide[0],) and job.drop_tombstones
+    below = [meta(2, 3, b"a", b"b"), meta(2, 3, b"e", b"e"), meta(2, 3, b"x", b"z")]
+    more = [*wide, meta(1, 9, b"q", b"r")]
+    assert set(planner.plan(more + below).inputs) == {wide[0], wide[1], below[0]}
     assert [planner.budget(n) for n in (1, 2, 3)] == [4, 16, 64]
 
 

@@ -174,7 +174,7 @@ def test_recovery_of_the_log_missing_runs_and_adoption(spark, tmp_path):
 def test_damage_names_the_run(spark, tmp_path):
     with KVTable.open(spark, tmp_path / "t") as table:
         table.put_all(frame(spark, [(b"k%04d" % k, random.Random(k).randbytes(60)) for k in range(3000)]))
-        (run,) = table.describe().collect()
+        run, *_ = sorted(table.describe().collect(), key=lambda r: r["path"])
         file = tmp_path / "t" / "runs" / run["path"]
         data = bytearray(file.read_bytes())
         data[len(data) // 3] ^= 0xFF
@@ -248,6 +248,190 @@ def test_command_line(spark, tmp_path):
     assert call("scan", folder, "", "b")[:2] == (0, "a\tA\n")
     assert call("delete", folder, "a")[:2] == (0, "ok\n")
     assert call("compact", folder)[:2] == (0, "")
-    assert call("info", folder)[:2] == (0, "keys: 3\nruns: 1 over 1 levels\n")
+    assert call("info", folder)[:2] == (0, "live_keys=3 run_files=1 deepest_level=1\n")
     for bad in ((), ("put", folder, "k"), ("fly", folder), ("scan",)):
         assert call(*bad)[0] == 2 and "usage" in call(*bad)[2]
+
+
+# ---- concurrency, pins, crashes in between, what a read touches
+
+
+def slow(monkeypatch, started, go):
+    """Holds every write of a run between its job and its commit."""
+    write = rn.write_run
+
+    def held(*args, **more):
+        out = write(*args, **more)
+        started.set()
+        assert go.wait(60)
+        return out
+
+    monkeypatch.setattr(rn, "write_run", held)
+
+
+def test_readers_do_not_wait_for_a_writer(spark, tmp_path, monkeypatch):
+    with KVTable.open(spark, tmp_path / "t") as table:
+        table.put_all(frame(spark, [(b"a", b"old")]))
+        table.put(b"b", b"buffered")
+        started, go = threading.Event(), threading.Event()
+        slow(monkeypatch, started, go)
+        writer = threading.Thread(target=lambda: table.put_all(frame(spark, [(b"a", b"new"), (b"c", b"new")])))
+        writer.start()
+        try:
+            assert started.wait(60)
+            assert table.get(b"a") == b"old" and table.get(b"b") == b"buffered"
+            assert rows(table.scan()) == [(b"a", b"old"), (b"b", b"buffered")]
+            with table.snapshot() as s:
+                assert s.size() == 2
+        finally:
+            go.set()
+            writer.join()
+        assert rows(table.scan()) == [(b"a", b"new"), (b"b", b"buffered"), (b"c", b"new")]
+
+
+def test_a_flush_that_lands_during_a_merge_stays(spark, tmp_path, monkeypatch):
+    with KVTable.open(spark, tmp_path / "t") as table:
+        table.put_all(frame(spark, [(b"a", b"1"), (b"b", b"1")]))
+        started, go = threading.Event(), threading.Event()
+        write = rn.write_run
+
+        def held(changes, path, level, *args, **more):
+            out = write(changes, path, level, *args, **more)
+            if level:
+                started.set()
+                assert go.wait(60)
+            return out
+
+        monkeypatch.setattr(rn, "write_run", held)
+        merge = threading.Thread(target=lambda: table._compact_once(force=True))
+        merge.start()
+        try:
+            assert started.wait(60)
+            table.put(b"a", b"2")
+            table.flush()
+            assert table.get(b"a") == b"2"
+        finally:
+            go.set()
+            merge.join()
+        assert table.run_counts() == {0: 1, 1: 1} and rows(table.scan()) == [(b"a", b"2"), (b"b", b"1")]
+
+
+def test_frames_of_a_scan_keep_their_runs_until_released(spark, tmp_path):
+    with KVTable.open(spark, tmp_path / "t") as table:
+        table.put_all(frame(spark, [(b"k%02d" % k, b"1") for k in range(20)]))
+        held, derived = table.scan(), table.live().where("key > 'k10'")
+        table.put_all(frame(spark, [(b"k%02d" % k, b"2") for k in range(20)]))
+        table.compact()
+        table.vacuum()
+        assert rows(held) == [(b"k%02d" % k, b"1") for k in range(20)] and derived.count() == 9
+        table.release_scans()
+        assert table.vacuum() > 0
+        assert {v for _, v in rows(table.scan())} == {b"2"}
+
+
+def test_writers_stall_while_compaction_is_behind(spark, tmp_path, monkeypatch):
+    from keyfold.plans import planner
+
+    monkeypatch.setattr(planner, "STALL_TRIGGER", 5)
+    with KVTable.open(spark, tmp_path / "t", flush_threshold=4, fsync=False, background=True) as table:
+        table._busy.acquire()  # no compaction can start
+        most = []
+        writer = threading.Thread(target=lambda: [table.put(b"k%04d" % (k * 37 % 100), b"v") for k in range(40)])
+        writer.start()
+        try:
+            writer.join(20)
+            assert writer.is_alive() and table.write_stalls > 0
+            most.append(len({r.seq for r in planner.at_level(table._manifest.runs, 0)}))
+        finally:
+            table._busy.release()
+            writer.join()
+        assert most[0] == planner.STALL_TRIGGER and table.size() == 40
+        got = {r["metric"]: r["value"] for r in table.overview().collect()}
+        assert got["write_stalls"] == table.write_stalls > 0 and got["compactions"] == table.compactions and got["deepest_level"] >= 1
+
+
+def test_a_crash_between_flush_and_log_reset_loses_nothing(spark, tmp_path):
+    state = {}
+    with KVTable.open(spark, tmp_path / "t", flush_threshold=10_000, fsync=False) as table:
+        mutate(table, state, 17, 400, keys=80)
+        shutil.copy(tmp_path / "t" / "wal.log", tmp_path / "kept")
+        table.flush()
+    shutil.copy(tmp_path / "kept", tmp_path / "t" / "wal.log")
+    with KVTable.open(spark, tmp_path / "t") as table:
+        assert rows(table.scan()) == sorted(state.items())
+        table.flush()
+        table.compact()
+        assert rows(table.scan()) == sorted(state.items())
+
+
+def test_restarts_in_between_lose_nothing(spark, tmp_path):
+    state = {}
+    for part in range(6):
+        with KVTable.open(spark, tmp_path / "t", flush_threshold=96, fsync=False) as table:
+            mutate(table, state, 23 + part, 250, keys=300)
+            assert rows(table.scan()) == sorted(state.items())
+
+
+def test_deletes_and_restores_over_generations(spark, tmp_path):
+    keys = [b"g%03d" % k for k in range(40)]
+    with KVTable.open(spark, tmp_path / "t") as table:
+        for generation in range(4):
+            table.put_all(frame(spark, [(k, b"%d" % generation) for k in keys]))
+            assert {v for _, v in rows(table.scan())} == {b"%d" % generation}
+            table.delete_all(spark.createDataFrame([(bytearray(k),) for k in keys], "key binary"))
+            assert table.size() == 0 and table.get(keys[7]) is None
+        table.compact()
+        assert table.size() == 0 and table.run_counts() == {}
+
+
+def read_rows(df):
+    """The rows that the scans of a plan handed on."""
+    df.collect()
+
+    def walk(node):
+        if "FileSourceScan" in node.getClass().getSimpleName():
+            yield node.metrics().apply("numOutputRows").value()
+        if "AdaptiveSparkPlan" in node.getClass().getSimpleName():
+            yield from walk(node.executedPlan())
+        children = node.children()
+        for k in range(children.size()):
+            yield from walk(children.apply(k))
+
+    return sum(walk(df._jdf.queryExecution().executedPlan()))
+
+
+def test_a_read_touches_a_page_and_an_absent_key_none(spark, tmp_path):
+    with KVTable.open(spark, tmp_path / "t") as table:
+        table.put_all(frame(spark, [(b"k%06d" % (2 * k), random.Random(k).randbytes(20)) for k in range(30_000)]))
+        table.compact()
+        point = lambda key: table._view().live(key, key + b"\0").where(F.col("key") == F.lit(key))
+        assert 1 <= read_rows(point(b"k%06d" % 30_000)) <= 2 * rn.PAGE_ROWS
+        absent = sum(read_rows(point(b"k%06d" % k)) > 0 for k in range(20_001, 20_041, 2))
+        assert absent <= 2
+        assert read_rows(table._view().live(b"k000000", b"k000100")) <= 2 * rn.PAGE_ROWS
+        assert read_rows(table._view().live()) == 30_000
+
+
+def test_bulk_files_are_disjoint_and_failed_writes_leave_nothing(spark, tmp_path, monkeypatch):
+    with KVTable.open(spark, tmp_path / "t", run_entries=400) as table:
+        monkeypatch.setattr("keyfold.operators.table.RUN_ENTRIES", 400)
+        assert table.put_all(frame(spark, [(b"k%05d" % k, b"v") for k in range(3000)])) == 3000
+        assert rn.disjoint(list(table._manifest.runs)) and len(table._manifest.runs) >= 7
+        folders = mf.run_folders(tmp_path / "t")
+        with pytest.raises(ValueError, match="null"):
+            table.put_all(spark.createDataFrame([(b"a", None)], "key binary, value binary"))
+        assert mf.run_folders(tmp_path / "t") == folders and table.size() == 3000
+        assert table.stats.logical == 3000 * 7
+
+
+@pytest.mark.parametrize(
+    ("args", "code", "said"),
+    [(("get", "T", "nothing"), 1, ""), (("scan", "T"), 0, "a\t1\nb\t2\n"), (("scan", "T", "b"), 0, "b\t2\n"), (("scan", "T", "z", "a"), 0, ""), (("delete", "T", "nothing"), 0, "ok\n"), (("get", "T"), 2, ""), (("info",), 2, ""), (("info", "T", "x"), 2, "")],
+)
+def test_commands_and_their_codes(spark, tmp_path, args, code, said):
+    with KVTable.open(spark, tmp_path / "t", fsync=False) as table:
+        table.put("a", "1")
+        table.put("b", "2")
+    out, err = io.StringIO(), io.StringIO()
+    assert cli.run([str(tmp_path / "t") if x == "T" else x for x in args], out, err, spark) == code
+    assert out.getvalue() == said and ("usage" in err.getvalue()) == (code == 2)
