@@ -87,6 +87,14 @@ def release_shuffles(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name like ``name`` that is not among ``taken``, in any case."""
+    known = {x.lower() for x in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """Applies ``function`` to each Arrow batch; it keeps nothing between batches."""
 

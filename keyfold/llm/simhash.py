@@ -8,28 +8,48 @@ one. Every pair that shares four bytes thus meets in a list. Within a list the s
 positional bytes of each pair are tallied, pairs with fewer than four are dropped, and
 the rest are verified bit by bit.
 
-Equal fingerprints are one entry. A list longer than LIST is dealt out in blocks, each
-pair of blocks a task of its own, so no list has to fit in one task.
+Equal fingerprints are one entry. A list longer than LIST holds near copies: first its
+members are held against a few leaders, and what that links is contracted. Only members in
+different components are then compared: those of the largest component are dealt out in
+blocks, the others in blocks that meet each of these and one another, each meeting a task
+of its own, so no list has to fit in one task and a list of one group costs no pairs.
+
+``keep_one`` serves similarities that 64 bits cannot tell apart: texts whose five-word
+shingles have a Jaccard similarity of 0.8 differ in about 15 of 100 bits. Its
+fingerprints have WIDE_BYTES positional bytes more, indexed by LISTS triples of positions.
+At that distance no number of shared bytes is guaranteed, so the triples are many enough
+that about nine in ten pairs at 0.8 meet, and more above; what meets is verified on all
+bits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructType
 
-from keyfold.llm.common import ready, stored, text_slices, utf8
+from keyfold.llm.common import drop_stored, fresh, ready, stored, text_slices, utf8
 from keyfold.llm.components import connected_components, label_forest
 
 SEED = 42
 POSITIONS = 8
 LIST = 1_024
 SHORT = 24
+LEADERS = 4
+#: The wide fingerprint: positional bytes of the index, lists of each fingerprint, further bits that screen what meets in a list.
+WIDE_BYTES, LISTS, SCREEN_BITS, MOST_SCREENED = 96, 160, 64, 20
+PLANES = (WIDE_BYTES * 8 + SCREEN_BITS) // 64
+#: Standard errors by which the limit of wide fingerprints lies beyond the least similarity.
+LENIENCE = 1.3
+CHUNK = 8_192
+ROW, WIDE = "_row", "_wide"
 _ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -52,26 +72,37 @@ def turan_triples(n: int = POSITIONS) -> list[tuple[int, int, int]]:
     return out
 
 
-def fingerprint(text: bytes, width: int) -> int:
-    """The SimHash of a text: majority of each bit over the hashes of its word shingles."""
+def shingle_hashes(text: bytes, width: int) -> Iterator[np.ndarray]:
+    """The hashes of a text's word shingles in order, repeats included, a bounded number at a time."""
     words = text.translate(_ASCII_LOWER).split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
-    if len(words) < width:
-        bounds = [(0, len(joined))]
-    else:
-        starts = ends - sizes
-        bounds = zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in bounds], ">u8")
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 1 << 16):
-        part = hashes[i : i + (1 << 16)]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
+    starts = ends - sizes
+    digest, n = xxhash.xxh64_intdigest, max(1, len(words) - width + 1)
+    for i in range(0, n, 1 << 16):
+        bounds = zip(starts[i : min(i + (1 << 16), n)].tolist(), ends[min(width, len(words)) - 1 + i :].tolist(), strict=False)
+        yield np.array([digest(joined[a:b], SEED) for a, b in bounds], np.uint64)
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many rows have each bit of the row's bytes, the highest bit of a byte first."""
+    ones = np.zeros(hashes.shape[1] * 64, np.int64)
+    for i in range(0, len(hashes), 4_080):
+        bits = np.unpackbits(hashes[i : i + 4_080].view(np.uint8), axis=1).view(np.uint64)  # a byte a bit, added eight at a time
+        ones += np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0).view(np.uint8).sum(axis=0, dtype=np.int64)
+    return ones
+
+
+def fingerprint(text: bytes, width: int) -> int:
+    """The SimHash of a text: majority of each bit over the hashes of its word shingles."""
+    ones, n = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(text, width):
+        ones += bit_counts(hashes.astype(">u8")[:, None])
+        n += len(hashes)
+    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big") if n else 0
 
 
 def fingerprints(df: DataFrame, id_column: str, text_column: str, width: int) -> DataFrame:
@@ -116,7 +147,8 @@ def links(distinct: DataFrame, bits: int, list_size: int = LIST) -> DataFrame:
     """Edges (a, b) between representatives of ``distinct`` (fp, node) that join all that link.
 
     The edges have the same components as the full link relation; within a list only a
-    spanning forest is returned, never all pairs.
+    spanning forest is returned, never all pairs. A list over ``list_size`` is compared
+    across components only.
     """
     if not 0 <= bits <= 4:
         raise ValueError("bits must be 0 to 4: more may leave fewer than four bytes in common")
@@ -124,13 +156,39 @@ def links(distinct: DataFrame, bits: int, list_size: int = LIST) -> DataFrame:
     byte = lambda k: F.shiftrightunsigned("fp", 8 * (POSITIONS - 1 - k)).bitwiseAND(F.lit(255))
     keys = [byte(a) * 65536 + byte(b) * 256 + byte(c) + F.lit(i << 24) for i, (a, b, c) in enumerate(turan_triples())]
     postings = distinct.select("fp", "node", F.explode(F.array(*keys)).alias("key"))
-    lists = stored(postings.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "simhash-lists")
-    blocks = F.ceil(F.col("size") / list_size).cast("int")
-    met = postings.join(lists.withColumnRenamed("key", "list"), F.col("key") == F.col("list")).select("key", "fp", "node", blocks.alias("n"))
-    own = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
-    dealt = met.select("key", "fp", "node", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "fp", "node")
-    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists = stored(postings.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select(F.col("key").alias("list"), "size"), "simhash-lists")
+    met = postings.join(lists, F.col("key") == F.col("list"))
+    short = met.where(F.col("size") <= list_size).select("key", F.lit(0).alias("low"), F.lit(0).alias("high"), "fp", "node")
+    if lists.where(F.col("size") > list_size).isEmpty():
+        return _compared(short, bits)
+    long = stored(met.where(F.col("size") > list_size).select("key", "fp", "node"), "simhash-long")
+    # the leaders of a list are the least by hash of the members, found by partial aggregates
+    leaders = long.select("key", F.explode(F.array(*(F.struct(F.lit(s).alias("s"), F.xxhash64("key", "fp", F.lit(s)).alias("h")) for s in range(LEADERS)))).alias("x"), "fp", "node")
+    leaders = leaders.groupBy("key", "x.s").agg(F.min(F.struct("x.h", "fp", "node")).alias("lead")).groupBy(F.col("key").alias("_key")).agg(F.collect_list("lead").alias("leads"))
+    near = long.join(leaders, F.col("key") == F.col("_key")).select("fp", "node", F.explode("leads").alias("lead"))
+    near = near.where((F.bit_count(F.col("fp").bitwiseXOR(F.col("lead.fp"))) <= bits) & (F.col("node") != F.col("lead.node")))
+    stars = stored(near.select(F.col("node").alias("a"), F.col("lead.node").alias("b")).distinct(), "simhash-stars")
+    labels = stored(connected_components(stars), "simhash-labels")
+    named = long.join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("key", "fp", "node", F.coalesce("component", "node").alias("component"))
+    counts = named.groupBy("key", "component").agg(F.count("*").alias("n"))
+    mains = counts.groupBy(F.col("key").alias("_key")).agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("size")).where("m.n < size")
+    blocks = lambda n: F.ceil(n / list_size).cast("int")
+    mains = mains.select("_key", F.col("m.component").alias("main"), blocks(F.col("m.n")).alias("mains"), blocks(F.col("size") - F.col("m.n")).alias("rests"))
+    split = named.join(mains, F.col("key") == F.col("_key"))
+    inside = F.col("component") == F.col("main")
+    own = F.pmod(F.xxhash64("fp"), F.when(inside, F.col("mains")).otherwise(F.col("rests"))).cast("int")
+    split = split.select("key", "fp", "node", inside.alias("inside"), own.alias("own"), "mains", "rests")
+    among = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("other")
+    of_main = split.where("inside").select("key", "fp", "node", "own", among("rests")).select("key", (-1 - F.col("own")).alias("low"), F.col("other").alias("high"), "fp", "node")
+    rest = split.where("not inside")
+    to_main = rest.select("key", "fp", "node", "own", among("mains")).select("key", (-1 - F.col("other")).alias("low"), F.col("own").alias("high"), "fp", "node")
+    to_rest = rest.select("key", "fp", "node", "own", among("rests")).select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "fp", "node")
+    return _compared(short.union(of_main).union(to_main).union(to_rest), bits).union(stars)
+
+
+def _compared(dealt: DataFrame, bits: int) -> DataFrame:
+    """Edges (a, b) that join what is linked among the rows (fp, node) of each (key, low, high)."""
+    parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(parts, "key", "low", "high").sortWithinPartitions("key", "low", "high")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -195,3 +253,183 @@ def near_duplicates(df: DataFrame, id_column: str, text_column: str, width: int
     found = stored(found, "simhash-classes")
     out = rows.join(found.withColumnRenamed("fp", "_fp"), F.col("fp") == F.col("_fp")).select(F.col("id").alias(id_column), "fp", F.col("component").alias("component_id"))
     return out
+
+
+# ---- wide fingerprints
+
+
+_random = np.random.default_rng(1729)
+_PLANE = _random.integers(1, 1 << 63, PLANES, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Triples of positions: permutations of all positions, each cut into disjoint triples.
+_TRIPLES = np.concatenate([_random.permutation(WIDE_BYTES).reshape(-1, 3) for _ in range(-(-LISTS * 3 // WIDE_BYTES))])[:LISTS]
+
+
+def wide_fingerprint(text: bytes, width: int) -> bytes:
+    """The SimHash of a text's distinct shingles, with as many hashes of each as PLANES; zero without words."""
+    parts = list(shingle_hashes(text, width))
+    if not parts:
+        return bytes(PLANES * 8)
+    own = np.unique(np.concatenate(parts))
+    ones = np.zeros(PLANES * 64, np.int64)
+    for i in range(0, len(own), 1 << 14):
+        x = own[i : i + (1 << 14), None] * _PLANE
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+        ones += bit_counts(x)
+    return np.packbits(ones * 2 > len(own)).tobytes()
+
+
+def most_bits(least: float) -> int:
+    """The differing bits up to which wide fingerprints link, for a Jaccard similarity of ``least``.
+
+    Sets of that similarity have a cosine of about 2 * least / (1 + least), and a bit
+    differs with the angle over pi; LENIENCE standard errors more, so that sampling
+    error loses about one in ten pairs that are just similar enough.
+    """
+    n = PLANES * 64
+    p = float(np.arccos(2 * least / (1 + least)) / np.pi)
+    return int(n * p + LENIENCE * (n * p * (1 - p)) ** 0.5)
+
+
+def _stars(key: np.ndarray, node: np.ndarray, near) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(member, leader) positions of lists: ``key`` ascends, ``near`` tells which members are near their leaders.
+
+    The member that hashes least leads; who is near it is settled, the others get the
+    next leader. So each member has one pair at most, and leaders differ by list.
+    """
+    at = np.arange(len(key))
+    while len(at):
+        new = np.flatnonzero(np.diff(key[at], prepend=-1))
+        sizes = np.diff(np.append(new, len(at)))
+        at = at[np.repeat(sizes > 1, sizes)]
+        if not len(at):
+            return
+        new = np.flatnonzero(np.diff(key[at], prepend=-1))
+        sizes = np.diff(np.append(new, len(at)))
+        rank = (node[at] ^ key[at] * 0x9E3779B1).astype(np.uint64) * _PLANE[0]
+        rank ^= rank >> np.uint64(31)
+        rank *= _PLANE[1]
+        order = np.lexsort((rank, np.repeat(np.arange(len(new)), sizes)))
+        lead = np.repeat(at[order[new]], sizes)
+        hit = near(at, lead) | (at == lead)
+        moved = hit & (at != lead)
+        yield at[moved], lead[moved]
+        at = at[~hit]
+
+
+def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+
+
+def wide_links(nodes: DataFrame, limit: int) -> DataFrame:
+    """Edges (a, b) between nodes of ``nodes`` (node long, WIDE) whose fingerprints differ in ``limit`` bits or fewer.
+
+    Each task first settles the lists of its own CHUNKs, so that of a group of near
+    copies mostly leaders are shuffled. What meets in a list after the shuffle is
+    screened on SCREEN_BITS bits that are in the posting, and verified on the whole
+    fingerprints in a join. All pairs within a list are never made.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            nodes_, wide = (np.concatenate(x) for x in zip(*held, strict=True))
+            keys = np.arange(LISTS, dtype=np.int64) << 24
+            for j, shift in enumerate((16, 8, 0)):
+                keys = keys | wide.view(np.uint8)[:, _TRIPLES[:, j]].astype(np.int64) << shift
+            order = np.argsort(keys.ravel(), kind="stable")
+            key, owner = keys.ravel()[order], order // LISTS
+            stays = np.ones(len(key), bool)
+            edges = [np.zeros((0, 2), np.int64)]
+            for member, lead in _stars(key, nodes_[owner], lambda a, b: _differing(wide[owner[a]], wide[owner[b]]) <= limit):
+                stays[member] = False
+                edges.append(np.stack([nodes_[owner[member]], nodes_[owner[lead]]], axis=1))
+            edges = np.unique(np.concatenate(edges), axis=0)
+            key, owner = key[stays], owner[stays]
+            screen = wide.view(np.int64)[:, -1]
+            # a verified edge travels as a row with a negative key
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ((key, -1 - (edges[:, 0] & 0xFFFF)), (nodes_[owner], edges[:, 0]), (screen[owner], edges[:, 1]))], ["key", "node", "screen"])
+
+        for batch in batches:
+            wide = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint64).reshape(-1, PLANES)
+            held.append((batch.column("node").to_numpy(), wide))
+            count += len(wide)
+            if count >= CHUNK:
+                yield from rows()
+                held, count = [], 0
+        if held:
+            yield from rows()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(a: np.ndarray, b: np.ndarray, sure: bool) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), sure))], ["a", "b", "sure"])
+
+        held = [np.zeros(0, np.int64)] * 3
+        for batch in chain(batches, [None]):
+            part = held
+            if batch is not None:
+                part = [np.concatenate([x, batch.column(k).to_numpy()]) for k, x in enumerate(held)]
+            cut = len(part[0]) if batch is None else int(np.searchsorted(part[0], part[0][-1])) if len(part[0]) else 0
+            key, node, screen = (x[:cut] for x in part)
+            held = [x[cut:] for x in part]
+            edges = int(np.searchsorted(key, 0))
+            if edges:
+                yield pairs(node[:edges], screen[:edges], True)
+            key, node, screen = key[edges:], node[edges:], screen[edges:]
+            for member, lead in _stars(key, node, lambda a, b: np.bitwise_count(screen[a] ^ screen[b]) <= MOST_SCREENED):  # noqa: B023
+                yield pairs(node[member], node[lead], False)
+
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    postings = nodes.select("node", F.col(WIDE).alias("wide")).mapInArrow(deal, "key bigint, node bigint, screen bigint")
+    met = postings.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(meet, "a bigint, b bigint, sure boolean")
+    met = stored(met.groupBy("a", "b").agg(F.max("sure").alias("sure")), "simhash-pairs")
+    side = lambda name: nodes.select(F.col("node").alias(f"_{name}"), F.col(WIDE).alias(f"w{name}"))
+    both = met.where("not sure").join(side("a"), F.col("a") == F.col("_a")).join(side("b"), F.col("b") == F.col("_b")).select("a", "b", "wa", "wb")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, PLANES) for k in ("wa", "wb"))
+            yield batch.select(["a", "b"]).filter(pa.array(_differing(a, b) <= limit))
+
+    return met.where("sure").select("a", "b").union(both.mapInArrow(verify, "a bigint, b bigint"))
+
+
+def keep_one(df: DataFrame, id_column: str, text_column: str, width: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of ``df`` that remain if of each group of near duplicates exactly one row stays.
+
+    Texts link if the wide fingerprints of their distinct runs of ``width`` words are as
+    near as at a Jaccard similarity of ``least`` (see ``most_bits``); groups are what links
+    join. Texts without words, null and empty ones, are one group; a text of fewer than
+    ``width`` words is one shingle. Of a group the row with the least id stays, a null id
+    coming after all others, and among rows of one id the one whose row hashes least.
+    Ids need not be distinct; all columns are kept, whatever their names; an empty table
+    gives no rows. Texts are read whole.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("least must be above 0 and at most 1")
+    ready(df.sparkSession)
+    names = df.columns
+    row_name, wide_name = fresh(ROW, names), fresh(WIDE, names)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, place = TaskContext.get().partitionId() << 33, names.index(text_column)
+        for whole in batches:
+            for batch in text_slices(whole, text_column):
+                wide = [wide_fingerprint(t, width) for t in utf8(batch.column(place))]
+                rows = pa.array(np.arange(number, number + batch.num_rows))
+                number += batch.num_rows
+                yield pa.RecordBatch.from_arrays([*batch.columns, rows, pa.array(wide, pa.binary())], [*names, row_name, wide_name])
+
+    rows = stored(df.mapInArrow(mark, StructType([*df.schema.fields]).add(row_name, LongType()).add(wide_name, BinaryType())), "simhash-rows")
+    nodes = stored(rows.groupBy(F.col(wide_name).alias(WIDE)).agg(F.min(row_name).alias("node")), "simhash-nodes")
+    links = stored(wide_links(nodes, most_bits(least)), "simhash-links")
+    found = connected_components(links)
+    classes = nodes.join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select(F.col(WIDE).alias("_w"), F.coalesce("component", "node").alias("_group"))
+    order = F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), F.xxhash64(*names).alias("hash"), F.col(row_name).alias("row"))
+    narrow = rows.select(F.col(wide_name).alias("_wide"), order.alias("_order")).join(classes, F.col("_wide") == F.col("_w"))
+    kept = stored(narrow.groupBy("_group").agg(F.min("_order").alias("_least")).select(F.col("_least.row").alias("_kept")), "simhash-kept")
+    for old in (nodes, links):
+        drop_stored(old)
+    return rows.join(kept.withColumnRenamed("_kept", fresh("_kept", names)), F.col(row_name) == F.col(fresh("_kept", names)), "left_semi").select(*names)

@@ -12,7 +12,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from keyfold.llm import bpe, ego_join, line_rules, mixing, quality_cnn, shingle_join, simhash, token_counts, toxicity, warc
+from keyfold.llm import bpe, ego_join, line_rules, mixing, quality_cnn, simhash, token_counts, toxicity, warc
 from keyfold.llm.common import labelled_sample
 from keyfold.llm.components import connected_components
 
@@ -116,11 +116,30 @@ def test_simhash_matches_brute_force(spark, size, monkeypatch):
     df = spark.createDataFrame([(k, t, 0) for k, t in rows], "doc_id long, text string, fp int")
     prints = {k: brute_fingerprint(t, 4) for k, t in rows}
     label = classes(prints, [(a, b) for a, b in combinations(sorted(prints), 2) if (prints[a] ^ prints[b]).bit_count() <= 4])
-    nodes = df.select("doc_id", "text")
-    got = {r["doc_id"]: (r["fp"] % 2**64, r["component_id"]) for r in simhash.near_duplicates(nodes, "doc_id", "text", 4, 4).collect()}
+    got = {r["doc_id"]: (r["fp"] % 2**64, r["component_id"]) for r in simhash.near_duplicates(df, "doc_id", "text", 4, 4).collect()}
     assert got == {k: (prints[k], label[k]) for k in prints}
 
 
+@pytest.mark.parametrize("size", [simhash.LIST, 20, 3])
+def test_links_of_dense_and_sparse_lists_match_brute_force(spark, size):
+    r = random.Random(size)
+    base = r.getrandbits(64)
+    flip = lambda x, n: x ^ sum(1 << b for b in r.sample(range(64), n))
+    fps = {base, *(flip(base, r.randrange(1, 4)) for _ in range(60)), *(flip(base, r.randrange(5, 12)) for _ in range(60))}
+    tail = base
+    for _ in range(12):
+        tail = flip(tail, 4)
+        fps.add(tail)
+    fps |= {base & ~0xFFFFFFFFFF | r.getrandbits(40) for _ in range(40)}
+    fps = sorted(fps)
+    df = spark.createDataFrame([(x - 2**64 if x >= 2**63 else x, k) for k, x in enumerate(fps)], "fp long, node long")
+    for bits in (4, 1):
+        want = classes(range(len(fps)), [(a, b) for a, b in combinations(range(len(fps)), 2) if (fps[a] ^ fps[b]).bit_count() <= bits])
+        edges = [tuple(x) for x in simhash.links(df, bits, size).collect()]
+        assert all((fps[a] ^ fps[b]).bit_count() <= bits for a, b in edges) or size > 3
+        assert classes(range(len(fps)), edges) == want
+
+
 def test_simhash_of_repeated_and_null_ids(spark):
     df = spark.createDataFrame([(1, "a b c d e"), (1, "x y z w v u"), (None, "a b c d e"), (2, "x y z w v u")], "doc_id long, text string")
     got = sorted((r["doc_id"] or 0, r["component_id"]) for r in simhash.near_duplicates(df, "doc_id", "text", 4, 4).collect())
@@ -147,32 +166,62 @@ def near_copies(r):
     return texts
 
 
-@pytest.mark.parametrize("common", [1 << 16, 3])
-def test_shingle_groups_match_brute_force(spark, monkeypatch, common):
-    monkeypatch.setattr(shingle_join, "MOST_COMMON", common)
-    texts = near_copies(random.Random(common))
-    sets = [shingle_set(t) for t in texts]
-    linked = [(a, b) for a, b in combinations(range(len(texts)), 2) if sets[a] == sets[b] or (sets[a] | sets[b] and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]))]
-    label = classes(range(len(texts)), linked)
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {}
-    for x in shingle_join.grouped(df, "text").collect():
-        got.setdefault(x["_group"], set()).add(x["doc_id"])
-    want = {}
-    for k, c in label.items():
-        want.setdefault(c, set()).add(k)
-    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
-    assert shingle_join.grouped(df.where("false"), "text").count() == 0
-
-
-def test_the_pipeline_drops_near_copies_of_0_8(spark):
-    import corpus_pipeline
-
-    texts = near_copies(random.Random(11))
+def wide_classes(texts):
+    """The components of the whole link relation of wide fingerprints, and that of Jaccard 0.8, by brute force."""
+    own = np.array([np.frombuffer(simhash.wide_fingerprint((t or "").encode(), 5), np.uint64) for t in texts])
+    limit = simhash.most_bits(0.8)
+    linked = [(a, b) for a, b in combinations(range(len(texts)), 2) if np.bitwise_count(own[a] ^ own[b]).sum() <= limit]
     sets = [shingle_set(t) for t in texts]
-    label = classes(range(len(texts)), [(a, b) for a, b in combinations(range(len(texts)), 2) if sets[a] == sets[b] or (sets[a] | sets[b] and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]))])
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {x["doc_id"] for x in corpus_pipeline.near_duplicates(spark, df, "").collect()} == set(label.values())
+    similar = [(a, b) for a, b in combinations(range(len(texts)), 2) if sets[a] == sets[b] or 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    return classes(range(len(texts)), linked), similar
+
+
+def test_wide_fingerprints_are_majorities_of_distinct_shingles():
+    text = "A b c d e f g a b c d e"
+    own = sorted({xxhash.xxh64_intdigest(x, 42) for x in (b"a b c d e", b"b c d e f", b"c d e f g", b"d e f g a", b"e f g a b", b"f g a b c", b"g a b c d")})
+    mask = 2**64 - 1
+    want = b""
+    for plane in simhash._PLANE.tolist():
+        hashes = []
+        for x in own:
+            y = x * plane & mask
+            y = (y ^ y >> 32) * 0x9E3779B97F4A7C15 & mask
+            hashes.append((y ^ y >> 29).to_bytes(8, "little"))
+        for byte in range(8):
+            want += bytes([sum(1 << bit for bit in range(8) if 2 * sum(h[byte] >> bit & 1 for h in hashes) > len(own))])
+    assert simhash.wide_fingerprint(text.encode(), 5) == want
+    long = words(random.Random(1), 30_000).encode()
+    assert simhash.wide_fingerprint(long, 5) == simhash.wide_fingerprint(long + b" ", 5) != want
+    assert simhash.wide_fingerprint(b" \n", 5) == bytes(len(want))
+
+
+@pytest.mark.parametrize("chunk", [8192, 7])
+def test_near_copies_of_0_8_are_found_and_others_are_not(spark, monkeypatch, chunk):
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    texts = near_copies(random.Random(chunk))
+    label, similar = wide_classes(texts)
+    df = spark.createDataFrame([(k, t, "x", 1) for k, t in enumerate(texts)], "doc_id long, text string, _row string, _wide int")
+    kept = simhash.keep_one(df, "doc_id", "text")
+    assert kept.columns == df.columns
+    rows = {x["doc_id"] for x in kept.collect()}
+    # what is found is part of the whole relation: each of its components keeps at least its least row
+    assert set(label.values()) <= rows
+    missed = [b for a, b in similar if {a, b} <= rows]
+    assert len(missed) <= 0.05 * len(similar) and len(rows) <= 1.05 * len(set(label.values()))
+    assert simhash.keep_one(df.where("false"), "doc_id", "text").count() == 0
+
+
+def test_the_limit_takes_nine_in_ten_pairs_of_0_8_and_none_far_below():
+    r = random.Random(2)
+    found = {0.8: [], 0.6: []}
+    for share in found:
+        for _ in range(60):
+            n = r.randrange(150, 500)
+            both = [str(r.random()) for _ in range(round(2 * n * share / (1 + share)))]
+            own = [{*both, *(str(r.random()) for _ in range(n - len(both)))} for _ in range(2)]
+            a, b = (np.frombuffer(simhash.wide_fingerprint(" ".join(x).encode(), 1), np.uint64) for x in own)
+            found[share].append(np.bitwise_count(a ^ b).sum() <= simhash.most_bits(0.8))
+    assert np.mean(found[0.8]) >= 0.8 and np.mean(found[0.6]) == 0
 
 
 def test_the_pipeline_keeps_a_row_of_each_group_whatever_its_id(spark):
