@@ -14,8 +14,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 ROOT = str(Path(__file__).resolve().parents[2])
+#: The most bytes of labelled texts that the driver takes to fit a model on.
+SAMPLE_BYTES = 96 << 20
 #: Arrow batches are bounded by bytes as well as by rows, so that long texts make smaller batches.
 BATCH_LIMIT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
@@ -138,13 +141,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def labelled_sample(df: DataFrame, id_column: str, text_column: str, labels: DataFrame, label: str, allowed, per_class: int) -> list[tuple[bytes, int, float]]:
+def labelled_sample(df: DataFrame, id_column: str, text_column: str, labels: DataFrame, label: str, allowed, per_class: int, most_bytes: int = SAMPLE_BYTES) -> list[tuple[bytes, int, float]]:
     """About ``per_class`` whole labelled texts of each class, chosen by a hash of the id: (UTF-8, label, weight).
 
     The weight is how many labelled rows of its class a row stands for. Rows with a null
     label or id, and rows that the condition ``allowed`` on the id excludes, are not
-    used. The chosen labels are at most a few times ``per_class`` rows, so they are
-    broadcast and the texts are scanned once.
+    used. Of rows with one id one counts, the one whose text hashes least. The chosen
+    labels are at most a few times ``per_class`` rows, so they are broadcast; first only
+    the sizes of their texts come to the driver, then whole texts, in the order of the
+    hash, as far as ``most_bytes`` go.
     """
     rows = labels.select(F.col(id_column).alias("id"), F.col(label).cast("int").alias("label")).where(allowed(F.col("id")) & F.col("id").isNotNull() & F.col("label").isin(0, 1)).distinct()
     counts = dict(rows.groupBy("label").count().collect())
@@ -152,6 +157,16 @@ def labelled_sample(df: DataFrame, id_column: str, text_column: str, labels: Dat
     chance = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 24)) / float(1 << 24)
     chosen = rows.where(chance < F.when(F.col("label") == 1, share.get(1, 1.0)).otherwise(share.get(0, 1.0)))
     source = df.select(F.col(id_column).alias("id"), F.encode(F.coalesce(F.col(text_column), F.lit("")), "utf-8").alias("text"))
-    found = source.join(F.broadcast(chosen), "id").select("id", "text", "label").collect()
-    found.sort(key=lambda r: (r["id"], bytes(r["text"])))
+    own = F.struct(F.xxhash64("text").alias("hash"), F.octet_length("text").alias("size"))
+    sizes = source.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min(own).alias("own")).select("id", "label", "own.hash", "own.size", F.xxhash64(F.lit("order"), "id").alias("rank"))
+    picked, held = [], 0
+    for r in sorted(sizes.collect(), key=lambda r: (r["rank"], r["id"], r["label"])):
+        if held + r["size"] <= most_bytes:
+            picked.append(r)
+            held += r["size"]
+    if not picked:
+        return []
+    wanted = df.sparkSession.createDataFrame([(r["id"], r["label"], r["hash"]) for r in picked], StructType([chosen.schema["id"], chosen.schema["label"]]).add("hash", "long"))
+    found = source.withColumn("hash", F.xxhash64("text")).join(F.broadcast(wanted), ["id", "hash"]).select("id", "label", "text").dropDuplicates(["id", "label"]).collect()
+    found.sort(key=lambda r: (r["id"], r["label"]))
     return [(bytes(r["text"]), r["label"], 1.0 / share[r["label"]]) for r in found]

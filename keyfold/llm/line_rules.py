@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
-#: A line is navigation with so many separators between its words, or at most this share of letters.
+#: A line is navigation if two of these separators stand between or after its words.
 NAVIGATION = r"\S +[|>»•·] +\S.*[|>»•·]"
 #: A line is boilerplate if one of these phrases is in it.
 BOILERPLATE = r"(?i)(all rights reserved|cookie (policy|settings)|privacy policy|terms of (use|service)|enable javascript|sign (in|up) (to|for)|subscribe to our|click here to)"

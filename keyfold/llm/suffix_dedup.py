@@ -4,19 +4,22 @@ Every byte covered by a LENGTH-byte string that also starts in a document with a
 id goes. Documents are laid out in id order and cut into batches. Every LENGTH-byte
 window of a text has an anchor: the place in it whose K-byte gram hashes lowest, the
 leftmost on a tie. Equal windows have equal anchors, so only suffixes at anchors, about
-one in seven, are indexed.
+one in 14, are indexed.
 
 Each batch gets its suffix array: anchors sorted by their gram's hash, with a hash of the
 whole stretch of windows that share the anchor. Sorting by hash serves as any order does
 in which equal prefixes are adjacent, and splits the suffix space evenly into buckets. In
-a bucket the arrays of the batches arrive in id order; each is merge-scanned against the
-existing levels and then becomes a level itself, equal-sized levels merging
-geometrically, so a bucket of b batches has log b levels. A hit on the whole stretch
-settles all its windows. Where only the gram is shared, as at the borders of a repeated
-passage, the same index family runs once more over single windows.
-
-A batch sends at most one entry of a gram to a bucket, so a passage in a third of all
-documents is as many entries as there are batches.
+a bucket the arrays of the batches arrive in id order; each is looked up in the existing
+levels and what is new becomes a level itself, equal-sized levels merging geometrically,
+so a bucket of b batches has log b levels. A hit on the whole stretch settles all its
+windows. Where only the gram is shared, as at the borders of a repeated passage, the same
+index family runs once more over single windows.
+
+A batch sends at most one entry of a gram to a bucket, and the index holds a gram once,
+with its first stretch; further stretches of it are a set beside it. So a passage in a
+third of all documents is as many entries as there are batches, and a gram in differing
+surroundings costs a lookup an entry, not one a pair. Matches are equal in 128 bits: gram
+and stretch, or two independent hashes of a window.
 """
 
 from __future__ import annotations
@@ -37,12 +40,17 @@ K = 24
 BATCH_BYTES = 1 << 20
 BUCKET_BYTES = 48 << 20
 LEAST_BUCKETS = 128
-POSITION_BITS = 28
+SPREAD_BYTES = 16 << 20
+#: Anchors are found a segment of windows at a time; a position in it has to fit in POSITION_BITS.
+SEGMENT = 1 << 22
+POSITION_BITS = 23
 U = np.uint64
 _SEED = np.random.default_rng(20240229)
 _TABLE = _SEED.integers(1, 1 << 63, 256, np.uint64) * U(2) + U(1)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_LANES = -(-LENGTH // 8)
+_LANE = _SEED.integers(1, 1 << 63, _LANES, np.uint64) * U(2) + U(1)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -87,6 +95,20 @@ class Batch:
         """Hashes of the substrings [first, last)."""
         return _mix((self.prefix[last] - self.prefix[first]) * self.inverse[first])
 
+    def checks(self, windows: np.ndarray) -> np.ndarray:
+        """Second hashes of LENGTH-byte windows, independent of the first: multilinear in their 8-byte lanes."""
+        out = np.empty(len(windows), U)
+        for i in range(0, len(windows), 1 << 16):
+            own = windows[i : i + (1 << 16)]
+            lanes = np.zeros((len(own), 8 * _LANES), np.uint8)
+            lanes[:, :LENGTH] = self.data[own[:, None] + np.arange(LENGTH)]
+            x = lanes.view(U)
+            x ^= x >> U(32)
+            x *= _LANE
+            x ^= x >> U(29)
+            out[i : i + len(own)] = _mix((x * _LANE[::-1]).sum(axis=1, dtype=U))
+        return out
+
     def _anchors(self) -> None:
         """anchor, low, high: the distinct anchors and the first and last window of each; document of each."""
         n = len(self.data)
@@ -94,8 +116,38 @@ class Batch:
         self.anchor = self.low = self.high = self.document = empty
         if n < LENGTH:
             return
-        grams = self.prefix[K:] - self.prefix[:-K]
-        grams *= self.inverse[: len(grams)]
+        inside = np.zeros(n + 1, np.int8)
+        long = self.ends - self.starts >= LENGTH
+        np.add.at(inside, self.starts[long], 1)
+        np.add.at(inside, self.ends[long] - LENGTH + 1, -1)
+        inside = np.cumsum(inside, dtype=np.int8) > 0
+        parts: list[list[np.ndarray]] = []
+        for first in range(0, n - LENGTH + 1, SEGMENT):
+            found = self._segment(first, min(first + SEGMENT, n - LENGTH + 1), inside)
+            if found is None:
+                continue
+            if parts and parts[-1][0][-1] == found[0][0]:  # an anchor whose windows go on from the segment before
+                parts[-1][2][-1] = found[2][0]
+                found = [x[1:] for x in found]
+            if len(found[0]):
+                parts.append(found)
+        if not parts:
+            return
+        self.anchor, self.low, self.high, grams = (np.concatenate(x) for x in zip(*parts, strict=True))
+        # an anchor's gram hashes low by its choice; hashing again spreads the grams evenly over the buckets
+        self.gram = _mix(grams ^ U(_BASE))
+        self.document = np.searchsorted(self.ends, self.anchor, "right")
+        stretch = self.hashes(self.low, self.high + LENGTH)
+        stretch ^= (self.anchor - self.low).astype(U) * U(0x9E3779B97F4A7C15)
+        self.stretch = _mix(stretch)
+
+    def _segment(self, first: int, last: int, inside: np.ndarray) -> list[np.ndarray] | None:
+        """anchor, low, high and the gram's hash of each anchor of the windows [first, last) that are ``inside`` a document."""
+        windows = first + np.flatnonzero(inside[first:last])
+        if not len(windows):
+            return None
+        grams = self.prefix[first + K : last + LENGTH] - self.prefix[first : last + LENGTH - K]
+        grams *= self.inverse[first : first + len(grams)]
         _mix(grams)
         least = grams >> U(POSITION_BITS)
         least <<= U(POSITION_BITS)
@@ -107,26 +159,9 @@ class Batch:
         if width < span:
             least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
         least &= U((1 << POSITION_BITS) - 1)
-        at = least.astype(np.int64)
-        del least
-        inside = np.zeros(n + 1, np.int8)
-        long = self.ends - self.starts >= LENGTH
-        np.add.at(inside, self.starts[long], 1)
-        np.add.at(inside, self.ends[long] - LENGTH + 1, -1)
-        windows = np.flatnonzero(np.cumsum(inside[: len(at)], dtype=np.int8) > 0)
-        if not len(windows):
-            return
-        at = at[windows]
+        at = first + least[windows - first].astype(np.int64)
         new = np.flatnonzero(np.diff(at, prepend=-1))
-        self.anchor = at[new]
-        self.low = windows[new]
-        self.high = windows[np.append(new[1:], len(windows)) - 1]
-        # an anchor's gram hashes low by its choice; hashing again spreads the grams evenly over the buckets
-        self.gram = _mix(grams[self.anchor] ^ U(_BASE))
-        self.document = np.searchsorted(self.ends, self.anchor, "right")
-        stretch = self.hashes(self.low, self.high + LENGTH)
-        stretch ^= (self.anchor - self.low).astype(U) * U(0x9E3779B97F4A7C15)
-        self.stretch = _mix(stretch)
+        return [at[new], windows[new], windows[np.append(new[1:], len(windows)) - 1], grams[at[new] - first]]
 
     def classes(self):
         """Anchors of equal gram and stretch: order, first of each class, class of each, and which grams vary."""
@@ -202,35 +237,49 @@ RUN = "bucket int, batch bigint, key binary, stretch binary, place binary"
 REPLY = "batch bigint, hit binary, open binary"
 
 
-def _runs(batch: int, keys: np.ndarray, stretch: np.ndarray | None, place: np.ndarray, buckets: int) -> Iterator[dict]:
+def _runs(batch: int, keys: np.ndarray, stretch: np.ndarray, place: np.ndarray, buckets: int) -> Iterator[dict]:
     """A batch's sorted array as one row for each bucket."""
     of = _split(keys, buckets)
     bounds = np.searchsorted(of, np.arange(buckets + 1))
     for b in np.flatnonzero(np.diff(bounds)).tolist():
         x = slice(bounds[b], bounds[b + 1])
-        yield {"bucket": b, "batch": batch, "key": keys[x].tobytes(), "stretch": None if stretch is None else stretch[x].tobytes(), "place": place[x].astype(np.uint32).tobytes()}
+        yield {"bucket": b, "batch": batch, "key": keys[x].tobytes(), "stretch": stretch[x].tobytes(), "place": place[x].astype(np.uint32).tobytes()}
 
 
 _RUN = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("key", pa.binary()), ("stretch", pa.binary()), ("place", pa.binary())])
 
 
 class Levels:
-    """Sorted arrays of (key, stretch, batch, place) whose sizes grow geometrically; later batches come later."""
+    """Arrays sorted by their first column, a 64-bit key, whose sizes grow geometrically."""
 
     def __init__(self) -> None:
         self.levels: list[list[np.ndarray]] = []
 
-    def lookup(self, keys: np.ndarray):
-        """For each level with hits: (which of ``keys``, level, first and one past the last equal entry)."""
+    def lookup(self, keys: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
+        """For each level with equal keys: which of ``keys``, the level, and the first equal entry."""
         for level in self.levels:
             low = np.searchsorted(level[0], keys, "left")
             found = np.flatnonzero(level[0][np.minimum(low, len(level[0]) - 1)] == keys)
             if len(found):
-                yield found, level, low[found], np.searchsorted(level[0], keys[found], "right")
+                yield found, level, low[found]
+
+    def has(self, keys: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Which pairs of key and second key are held; other pairs with an equal key do not hide one."""
+        out = np.zeros(len(keys), bool)
+        for which, level, low in self.lookup(keys):
+            while len(which):
+                out[which[level[1][low] == second[which]]] = True
+                more = (low + 1 < len(level[0])) & (level[0][np.minimum(low + 1, len(level[0]) - 1)] == keys[which])
+                which, low = which[more], low[more] + 1
+        return out
 
     def add(self, run: list[np.ndarray]) -> None:
+        """Takes a run in any order."""
         if not len(run[0]):
             return
+        if (run[0][1:] < run[0][:-1]).any():
+            order = np.argsort(run[0], kind="stable")
+            run = [x[order] for x in run]
         self.levels.append(run)
         while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
             young, old = self.levels.pop(), self.levels.pop()
@@ -239,53 +288,55 @@ class Levels:
             self.levels.append([x[order] for x in both])
 
 
-def _scan_bucket(rows: Iterator[tuple[int, np.ndarray, np.ndarray | None, np.ndarray]]) -> dict[int, list[list[np.ndarray]]]:
+def _scan_bucket(rows: Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]], windows: bool) -> dict[int, list[list[np.ndarray]]]:
     """Replies of one bucket: for each batch the places that are hits, and those that stay open.
 
-    With stretches, an entry of stretch 0 stands for a gram that varies within its batch:
-    it opens others and needs no reply itself.
+    With ``windows`` the entries are windows and nothing stays open. Otherwise they are
+    grams and stretches. A gram is held once, with its first stretch and a mark if that
+    entry has been told that others differ; its further stretches are held apart. An
+    entry of stretch 0 stands for a gram that varies within its batch: it opens others
+    and needs no reply itself.
     """
-    levels = Levels()
+    firsts, others = Levels(), Levels()
     replies: dict[int, list[list[np.ndarray]]] = {}
 
     def reply(batch: int, kind: int, places: np.ndarray) -> None:
         if len(places):
             replies.setdefault(batch, [[], []])[kind].append(places)
 
-    for batch, keys, stretch, place in rows:
-        seen = np.zeros(len(keys), bool)
-        partial = np.zeros(len(keys), bool)
-        others = []
-        for which, level, low, high in levels.lookup(keys):
-            if stretch is None:
-                seen[which] = True
-                continue
-            counts = high - low
-            query = np.repeat(which, counts)
-            entry = np.repeat(low - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
-            equal = (level[1][entry] == stretch[query]) & (stretch[query] != 0)
-            seen[query[equal]] = True
-            partial[query[~equal]] = True
-            others.append((query, level, entry))
-        if stretch is None:
+    for batch, keys, second, place in rows:
+        if windows:
+            seen = firsts.has(keys, second)
             reply(batch, 0, place[seen])
-            levels.add([keys[~seen]])
+            firsts.add([keys[~seen], second[~seen]])
             continue
-        for query, level, entry in others:
-            # the gram's earlier entries have to show their windows if this one is not settled by its stretch
-            told = entry[~seen[query] & (level[1][entry] != 0) & (level[4][entry] == 0)]
-            told = np.unique(told)
+        known, seen = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+        met = []
+        for which, level, low in firsts.lookup(keys):
+            known[which] = True
+            seen[which] = (level[1][low] == second[which]) & (second[which] != 0)
+            met.append((which, level, low))
+        whole = second != 0
+        ask = np.flatnonzero(known & ~seen & whole)
+        both = _mix(keys ^ second)
+        seen[ask[others.has(both[ask], second[ask])]] = True
+        partial = known & ~seen
+        for which, level, low in met:
+            # the gram's first entry has to show its windows once another stretch of it is there
+            told = low[partial[which]]
+            told = told[(level[1][told] != 0) & (level[4][told] == 0)]
             level[4][told] = 1
             for b in np.unique(level[2][told]).tolist():
                 reply(b, 1, level[3][told[level[2][told] == b]])
         reply(batch, 0, place[seen])
-        reply(batch, 1, place[partial & ~seen & (stretch != 0)])
-        new = ~seen
-        levels.add([keys[new], stretch[new], np.full(new.sum(), batch), place[new], (partial & ~seen)[new].astype(np.int8)])
+        reply(batch, 1, place[partial & whole])
+        new, more = ~known, partial & whole
+        firsts.add([keys[new], second[new], np.full(new.sum(), batch), place[new], np.zeros(new.sum(), np.int8)])
+        others.add([both[more], second[more]])
     return replies
 
 
-def _index(runs: DataFrame, buckets: int) -> DataFrame:
+def _index(runs: DataFrame, buckets: int, windows: bool = False) -> DataFrame:
     """Runs the index family in each bucket: REPLY rows."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,20 +357,23 @@ def _index(runs: DataFrame, buckets: int) -> DataFrame:
             def group() -> Iterator[tuple]:
                 nonlocal row
                 while row is not None and row[0] == bucket:  # noqa: B023
-                    yield row[1], _numbers(row[2], U), None if row[3] is None else _numbers(row[3], U), _numbers(row[4], np.uint32)
+                    yield row[1], _numbers(row[2], U), _numbers(row[3], U), _numbers(row[4], np.uint32)
                     row = next(stream, None)
 
-            replies = _scan_bucket(group())
+            replies = _scan_bucket(group(), windows)
             if replies:
                 yield out(replies)
 
     return runs.repartition(buckets, "bucket").sortWithinPartitions("bucket", "batch").mapInArrow(each, REPLY)
 
 
-def _with_replies(table: DataFrame, replies: DataFrame, names: list[str]) -> DataFrame:
-    """Each batch with the lists of its replies: columns hit and open become ``names``."""
-    gathered = replies.groupBy("batch").agg(F.collect_list("hit").alias(names[0]), F.collect_list("open").alias(names[1])).withColumnRenamed("batch", "_batch")
-    return table.join(gathered, F.col("batch") == F.col("_batch"), "left").drop("_batch")
+def _with_replies(table: DataFrame, replies: DataFrame, names: list[str], parts: int) -> DataFrame:
+    """Each batch with the lists of its replies, in ``parts`` partitions: columns hit and open become ``names``.
+
+    The replies to a batch are at most as many as its anchors or windows.
+    """
+    gathered = replies.repartition(parts, "batch").groupBy("batch").agg(F.collect_list("hit").alias(names[0]), F.collect_list("open").alias(names[1])).withColumnRenamed("batch", "_batch")
+    return table.repartition(parts, "batch").join(gathered, F.col("batch") == F.col("_batch"), "left").drop("_batch")
 
 
 def _flags(value: list[bytes] | None, n: int) -> np.ndarray:
@@ -330,11 +384,11 @@ def _flags(value: list[bytes] | None, n: int) -> np.ndarray:
 
 
 def _windows(own: Batch, hit: list[bytes] | None, opened: list[bytes] | None):
-    """Windows that the first round settles as removed, and the open ones with their hashes, sorted by hash."""
+    """Windows that the first round settles as removed, and the open ones with their two hashes, sorted by these."""
     gone = np.zeros(len(own.data) + 1, np.int32)
     none = np.zeros(0, np.int64)
     if not len(own.anchor):
-        return gone[:-1] > 0, none, none.astype(U)
+        return gone[:-1] > 0, none, none.astype(U), none.astype(U)
     lead, of, later, gram, many, _ = own.classes()
     seen = _flags(hit, len(lead))
     settled = later | seen[of]
@@ -345,14 +399,15 @@ def _windows(own: Batch, hit: list[bytes] | None, opened: list[bytes] | None):
     start = np.repeat(own.low[ask] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) if len(counts) else none
     windows = (start + np.arange(counts.sum())).astype(np.int64)
     hashes = own.hashes(windows, windows + LENGTH)
-    order = np.lexsort((windows, hashes))
-    return np.cumsum(gone[:-1]) > 0, windows[order], hashes[order]
+    checks = own.checks(windows)
+    order = np.lexsort((windows, checks, hashes))
+    return np.cumsum(gone[:-1]) > 0, windows[order], hashes[order], checks[order]
 
 
-def _window_classes(own: Batch, windows: np.ndarray, hashes: np.ndarray):
+def _window_classes(own: Batch, windows: np.ndarray, hashes: np.ndarray, checks: np.ndarray):
     """First of equal open windows, class of each, and those of a document after the first's."""
     new = np.ones(len(hashes), bool)
-    new[1:] = hashes[1:] != hashes[:-1]
+    new[1:] = (hashes[1:] != hashes[:-1]) | (checks[1:] != checks[:-1])
     first, number = np.flatnonzero(new), np.cumsum(new) - 1
     ids = own.ids[np.searchsorted(own.ends, windows, "right")]
     return first, number, ids > ids[first][number] if len(first) else np.zeros(0, bool)
@@ -381,28 +436,29 @@ def _indexed(df: DataFrame, id_column: str, text_column: str, sources: bool, cha
 
     one = stored(_index(table.mapInArrow(first_round, RUN), buckets), "suffix-replies")
     release_shuffles(spark)
-    known = _with_replies(table, one, ["hit", "open"])
+    spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // SPREAD_BYTES)
+    known = _with_replies(table, one, ["hit", "open"], spread)
 
     def second_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 own = _open(batch, i)
-                _, windows, hashes = _windows(own, batch.column("hit")[i].as_py(), batch.column("open")[i].as_py())
+                _, windows, hashes, checks = _windows(own, batch.column("hit")[i].as_py(), batch.column("open")[i].as_py())
                 if len(windows):
-                    first, _, _ = _window_classes(own, windows, hashes)
-                    yield pa.RecordBatch.from_pylist(list(_runs(batch.column("batch")[i].as_py(), hashes[first], None, np.arange(len(first)), buckets)), schema=_RUN)
+                    first, _, _ = _window_classes(own, windows, hashes, checks)
+                    yield pa.RecordBatch.from_pylist(list(_runs(batch.column("batch")[i].as_py(), hashes[first], checks[first], np.arange(len(first)), buckets)), schema=_RUN)
 
-    two = stored(_index(known.mapInArrow(second_round, RUN), buckets), "suffix-replies")
+    two = stored(_index(known.mapInArrow(second_round, RUN), buckets, windows=True), "suffix-replies")
     release_shuffles(spark)
-    known = _with_replies(known, two, ["hit2", "open2"])
+    known = _with_replies(known, two, ["hit2", "open2"], spread)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 own = _open(batch, i)
-                gone, windows, hashes = _windows(own, batch.column("hit")[i].as_py(), batch.column("open")[i].as_py())
+                gone, windows, hashes, checks = _windows(own, batch.column("hit")[i].as_py(), batch.column("open")[i].as_py())
                 if len(windows):
-                    first, number, later = _window_classes(own, windows, hashes)
+                    first, number, later = _window_classes(own, windows, hashes, checks)
                     gone[windows[later | _flags(batch.column("hit2")[i].as_py(), len(first))[number]]] = True
                 cover = np.zeros(len(own.data) + 1, np.int32)
                 starts = np.flatnonzero(gone)
@@ -444,8 +500,9 @@ def remove_repeats(df: DataFrame, id_column: str, text_column: str, sources: boo
     UTF-8; the counts and the digest are of that.
     Texts are UTF-8 bytes, null counts as empty; matches never cross documents; rows with
     one id do not count as repeats of each other; a row with a null id neither removes
-    nor loses anything. Other columns are not read; an empty table gives no rows. A
-    batch, and so a single text, has to stay below 2**28 bytes.
+    nor loses anything. Other columns are not read; an empty table gives no rows. Rows of
+    one id are in one batch, and a batch is held by one task, with about 30 bytes for
+    each of its own.
     """
     text = F.coalesce(F.encode(F.col(text_column), "utf-8"), F.lit(b""))
     rest = df.where(F.col(id_column).isNull()).select(F.col(id_column).cast("bigint").alias("id"), text.alias("kept"))

@@ -53,6 +53,18 @@ def _found(text: str) -> list[int]:
     return out
 
 
+def section_spans(spans: list[dict | None] | None) -> tuple[np.ndarray, np.ndarray]:
+    """First and one-past-last characters of given sections, -1 for null ones; raises ValueError if they overlap or descend."""
+    whole = [(x["start"], x["end"]) if x is not None and None not in (x["start"], x["end"]) else None for x in spans or []]
+    at = 0
+    for x in whole:
+        if x is not None:
+            if not at <= x[0] <= x[1]:
+                raise ValueError(f"sections must ascend and not overlap: {x} after {at}")
+            at = x[1]
+    return tuple(np.array([-1 if x is None else x[k] for x in whole], np.int64) for k in (0, 1))
+
+
 def allocate(starts: np.ndarray, ends: np.ndarray, first: np.ndarray, last: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray, int]:
     """Tokens and border-crossing tokens of each section, and the tokens that touch no section."""
     n = len(first)
@@ -74,15 +86,17 @@ def allocate(starts: np.ndarray, ends: np.ndarray, first: np.ndarray, last: np.n
 
 
 def count_tokens(df: DataFrame, id_column: str, text_column: str, ranks_path: str, pattern: str, sections: str | None = None, rule: str = "majority") -> DataFrame:
-    """Counts the tokens of each section of each whole text.
+    """Counts the tokens of each section of each whole text. A span list that is not ascending and disjoint is an error.
 
     ``sections`` names a column of array<struct<start, end>> with ascending disjoint
     character spans; without it the sections are the lines. Returns a row per section:
     id, section (0 on), start, end, n_tokens, n_crossing (tokens given to it that also
     touch another section). Tokens that touch no section form a row with section -1 and
     null span, if there are any. A null or empty text has one empty line with no tokens;
-    a null section list counts as empty. Repeated rows give repeated rows. One pass
-    without a shuffle; a text is never cut.
+    a null section list counts as empty; a null entry of it, or one with a null border,
+    keeps its number, has a null span and gets no tokens. A null id stays null; repeated
+    rows give repeated rows; an empty table gives no rows; other columns are not read.
+    One pass without a shuffle; a text is never cut.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
@@ -100,19 +114,18 @@ def count_tokens(df: DataFrame, id_column: str, text_column: str, ranks_path: st
                     if given is None:
                         first, last = line_spans(text)
                     else:
-                        spans = [x for x in given[i] or [] if x is not None]
-                        first = np.array([x["start"] for x in spans], np.int64)
-                        last = np.array([x["end"] for x in spans], np.int64)
-                    counts, crossing, outside = allocate(starts, ends, first, last, rule)
-                    part = np.stack([np.arange(len(first)), first, last, counts, crossing])
+                        first, last = section_spans(given[i])
+                    known = first >= 0
+                    part = np.stack([np.arange(len(first)), first, last, np.zeros_like(first), np.zeros_like(first)])
+                    part[3, known], part[4, known], outside = allocate(starts, ends, first[known], last[known], rule)
                     if outside:
                         part = np.concatenate([part, [[-1], [-1], [-1], [outside], [0]]], axis=1)
                     rows.append(np.full(part.shape[1], i))
                     parts.append(part)
                 flat = np.concatenate(parts, axis=1)
-                lost = flat[0] < 0
+                lost = flat[1] < 0
                 columns = [batch.column("id").take(pa.array(np.concatenate(rows))), pa.array(flat[0].astype(np.int32))]
-                columns += [pa.array(flat[k], mask=lost if k < 3 else None) for k in (1, 2, 3, 4)]
+                columns += [pa.array(flat[k], mask=lost if k < 3 else None, type=pa.int64()) for k in (1, 2, 3, 4)]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "section", "start", "end", "n_tokens", "n_crossing"])
 
     source = df.select(df[id_column].alias("id"), df[text_column].alias("text"), *([df[sections].alias("spans")] if sections else []))

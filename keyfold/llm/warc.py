@@ -21,11 +21,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyfold.llm.common import ready, scratch_path, stored
 
+#: The folder beside the archives that holds their index.
+INDEX_FOLDER = "index"
+
 LEAST_REVISIT_BYTES = 100
 DATE = "2024-01-01T00:00:00Z"
 FILE_BYTES = 256 << 20
@@ -85,8 +88,10 @@ def write_archive(df: DataFrame, id_column: str, url_column: str, html_column: s
     The payload is the html in UTF-8, null counts as empty. Of equal payloads of at least
     100 bytes the one with the least id is the response, rows with a larger id revisit
     it; a row with a null id is a response. Rows that repeat the least id are responses
-    too. A null URL leaves its header out. Other columns are not read; an empty table
-    gives an empty index and no files.
+    too; if id and payload are equal they are the same record twice and share its
+    WARC-Record-ID. A null URL leaves its header out. Other columns are not read; an
+    empty table gives an empty index and no archives. The index stays beside the
+    archives, for ``read_index``.
     """
     spark = ready(df.sparkSession)
     folder = folder or scratch_path(spark, "warc")
@@ -124,7 +129,19 @@ def write_archive(df: DataFrame, id_column: str, url_column: str, html_column: s
             if out is not None:
                 out.close()
 
-    return stored(joined.mapInArrow(each, INDEX), "warc-index")
+    joined.mapInArrow(each, INDEX).write.parquet(f"{folder}/{INDEX_FOLDER}")
+    return read_index(spark, folder)
+
+
+def read_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The index of the archives in ``folder``."""
+    return spark.read.schema(INDEX).parquet(f"{folder}/{INDEX_FOLDER}")
+
+
+def dangling(index: DataFrame) -> DataFrame:
+    """The revisits of an index whose response it does not name with the same digest: none in a whole one."""
+    responses = index.where("record_type = 'response'").select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest")).distinct()
+    return index.where("record_type = 'revisit'").join(responses, (F.col("refers_to") == F.col("_page")) & (F.col("digest") == F.col("_digest")), "left_anti")
 
 
 def _ranges(rows: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int, int, int]]:

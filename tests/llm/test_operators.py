@@ -66,7 +66,8 @@ def vectors(seed=1):
 
 
 def test_embedding_links_match_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(ego_join, "BLOCK", 16)
+    monkeypatch.setattr(ego_join, "BLOCKS", 6)
+    monkeypatch.setattr(ego_join, "LEAST_BLOCK", 4)
     monkeypatch.setattr(ego_join, "LEAF", 4)
     data = [(k, v) for k, v in enumerate(vectors())]
     n = len(data)
@@ -82,6 +83,81 @@ def test_embedding_links_match_brute_force(spark, monkeypatch):
     assert ego_join.near_duplicates(df.where("false"), "vec_id", "embedding").count() == 0
 
 
+def brute_links(x, threshold=0.95):
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = unit @ unit.T >= threshold
+    np.fill_diagonal(linked, False)
+    label = np.arange(len(x))
+    while True:
+        new = np.minimum(label, np.where(linked, label[None, :], len(x)).min(axis=1))
+        if (new == label).all():
+            return linked.sum(axis=1), label
+        label = new
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_thousands_of_vectors_with_chains_copies_and_pairs_next_to_the_threshold(spark, kind):
+    r = np.random.default_rng(5)
+    rows = [r.normal(size=32) for _ in range(1200)]
+    for _ in range(40):  # chains whose ends do not link, which cross blocks
+        x = r.normal(size=32)
+        x /= np.linalg.norm(x)
+        step = r.normal(size=32)
+        step -= step @ x * x
+        step /= np.linalg.norm(step)
+        rows += [x * math.cos(0.3 * k) + step * math.sin(0.3 * k) for k in range(20)]
+    for gap in (1e-4, -1e-4, 1e-6, -1e-6):  # pairs at 0.95 and a little to either side
+        for _ in range(50):
+            x, y = r.normal(size=(2, 32))
+            x /= np.linalg.norm(x)
+            y -= y @ x * x
+            y /= np.linalg.norm(y)
+            c = 0.95 + gap
+            rows += [x, c * x + math.sqrt(1 - c * c) * y]
+    rows += [rows[k] * s for k in range(0, 300, 3) for s in (1.0, 2.0, 0.5)]
+    x = np.array(rows)[r.permutation(len(rows))]
+    if kind == "float":
+        x = x.astype(np.float32).astype(np.float64)
+    degree, label = brute_links(x)
+    assert degree.sum() > 2000 and len(x) > 2500
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], f"vec_id long, embedding array<{kind}>")
+    got = sorted(tuple(z) for z in ego_join.near_duplicates(df, "vec_id", "embedding").collect())
+    assert got == [(k, int(degree[k]), int(label[k]), bool(label[k] == k)) for k in range(len(x))]
+
+
+def leaf_pairs(x, size=512):
+    """Leaf pairs compared, and all, of a sequence in epsilon grid order."""
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    epsilon = math.sqrt(0.1)
+    _, axes = np.linalg.eigh(np.cov(unit.T))
+    axes = np.ascontiguousarray(axes[:, ::-1][:, : ego_join.LEADING])
+    cells = ego_join._cells(unit, axes, epsilon)
+    order = np.lexsort(cells.T[::-1])
+    blocks = []
+    for a in range(0, len(x), size):
+        own = order[a : a + size]
+        blocks.append(ego_join.Block({"ids": own.astype("<i8").tobytes(), "copies": np.ones(len(own), "<i8").tobytes(), "data": unit[own].tobytes()}, x.shape[1], "<f8", axes, epsilon, 64))
+    done = sum(ego_join.join_blocks(p, q, epsilon, 0.95)[2] for i, p in enumerate(blocks) for q in blocks[i:])
+    n = sum(len(b.bounds) - 1 for b in blocks)
+    return done, n * (n + 1) // 2
+
+
+def test_clustered_vectors_are_skipped_in_blocks():
+    r = np.random.default_rng(8)
+    centres = r.normal(size=(60, 64))
+    done, every = leaf_pairs(centres[r.integers(0, 60, 4000)] + 0.08 * r.normal(size=(4000, 64)))
+    assert done < 0.15 * every
+    decaying = r.normal(size=(4000, 64)) * 0.75 ** np.arange(64)
+    done, every = leaf_pairs(decaying)
+    assert done < 0.5 * every
+
+
+def test_leaves_are_cut_at_cell_borders():
+    cells = np.repeat(np.array([[0, 0], [0, 1], [3, 0]], np.int32), [30, 10, 24], axis=0)
+    bounds = ego_join.leaves(cells, 40).tolist()
+    assert bounds == [0, 40, 64] and ego_join.leaves(cells[:1], 4).tolist() == [0, 1]
+
+
 # ---- 2
 
 
@@ -305,6 +381,13 @@ def test_tokens_of_lines_and_sections(spark, encoding):
             assert want == {n: x["n_tokens"] for n, x in got[k].items()}
     own = spark.createDataFrame([(1, "hello world", [(0, 2), (6, 11)])], "doc_id long, text string, spans array<struct<start:bigint,end:bigint>>")
     assert sorted((x["section"], x["n_tokens"]) for x in token_counts.count_tokens(own, "doc_id", "text", RANKS, PATTERN, "spans").collect()) == [(0, 1), (1, 1)]
+    gaps = spark.createDataFrame([(1, "hello world", [(0, 5), None, (None, 3), (5, 11)]), (None, "a b", None), (1, "hello world", [(0, 11)])], "doc_id long, text string, spans array<struct<start:bigint,end:bigint>>")
+    found = sorted(((x["doc_id"] or 0, x["section"], x["start"], x["n_tokens"]) for x in token_counts.count_tokens(gaps, "doc_id", "text", RANKS, PATTERN, "spans").collect()), key=str)
+    assert found == [(0, -1, None, 2), (1, 0, 0, 1), (1, 0, 0, 2), (1, 1, None, 0), (1, 2, None, 0), (1, 3, 5, 1)]
+    assert token_counts.count_tokens(gaps.where("false"), "doc_id", "text", RANKS, PATTERN, "spans").count() == 0
+    for wrong in ([(4, 8), (0, 2)], [(0, 5), (4, 8)], [(3, 1)], [(-2, 1)]):
+        with pytest.raises(ValueError, match="ascend"):
+            token_counts.section_spans([{"start": a, "end": b} for a, b in wrong])
     with pytest.raises(ValueError, match="rule"):
         token_counts.count_tokens(own, "doc_id", "text", RANKS, PATTERN, rule="best")
 
@@ -370,6 +453,82 @@ def test_a_score_does_not_depend_on_the_texts_around():
             assert quality_cnn.predict(model, [text, *others])[0] == quality_cnn.predict(model, [*others, text])[-1] == alone
 
 
+def test_the_noisy_or_likelihood_and_its_gradient():
+    r = np.random.default_rng(4)
+    document_of = np.sort(r.integers(0, 6, 15))
+    sentence_of = np.sort(r.integers(0, 15, 40))
+    ids, y, weight, w = r.integers(0, 8, 40), np.array([1, 0, 1, 0, 0, 1]), r.random(6), r.normal(size=9)
+
+    def naive(w):
+        out = 0.0
+        for d in range(6):
+            clean = 1.0
+            for s in np.flatnonzero(document_of == d):
+                clean *= 1 - 1 / (1 + math.exp(-(w[-1] + sum(w[ids[t]] for t in np.flatnonzero(sentence_of == s)))))
+            out -= weight[d] * math.log(1 - clean if y[d] else clean) if (document_of == d).any() else 0
+        return out
+
+    some = np.isin(np.arange(6), document_of)
+    loss, grad = toxicity.likelihood(w, ids, sentence_of, document_of, y, weight * some)
+    assert abs(loss - naive(w)) < 1e-9
+    for k in range(9):
+        step = np.eye(9)[k] * 1e-5
+        assert abs((naive(w + step) - naive(w - step)) / 2e-5 - grad[k]) < 1e-6
+
+
+def test_scores_equal_a_naive_noisy_or(spark):
+    model = toxicity.ToxicityModel({"bad": 3.0, "ba*": 0.5, "good": -1.0, "badly": 0.25}, -2.0, (2,))
+    texts = ["Bad bad good. Fine!\nbadly done", "", "...", None, "x " * 200_000 + "bad", "good"]
+    df = spark.createDataFrame([(k, t, 1.0) for k, t in enumerate(texts)] + [(None, "bad", 0.0), (5, "good", 0.0)], "doc_id long, text string, score double")
+    sigmoid = lambda z: 1 / (1 + math.exp(-z))
+    first = 1 - (1 - sigmoid(-2 + 3.5 - 1)) * (1 - sigmoid(-2)) * (1 - sigmoid(-2 + 0.75))
+    want = {0: first, 1: 0, 2: 0, 3: 0, 4: sigmoid(1.5), 5: sigmoid(-3), None: sigmoid(1.5)}
+    got = toxicity.score(df, "doc_id", "text", model).collect()
+    assert len(got) == 8 and all(abs(x["score"] - want[x["doc_id"]]) < 1e-12 for x in got)
+    assert toxicity.score(df.where("false"), "doc_id", "text", model).count() == 0
+
+
+def test_training_chooses_beginnings_only_where_they_help():
+    r = random.Random(9)
+    fill = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    inflected = [(f"{fill(5)} rotten{fill(1)[:3]} {fill(4)}." if k % 3 == 0 else f"{fill(10)}.", int(k % 3 == 0)) for k in range(400)]
+    model = toxicity.train([(t.encode(), y, 1.0) for t, y in inflected])
+    assert model.prefixes and toxicity.noisy_or([z for *_, z in model.sentences("a rottenest b")]) > 0.5
+    assert toxicity.train([]).weights == {} and toxicity.train([(b"a", 1, 1.0)]).weights == {}
+
+
+def test_scores_equal_a_naive_convolution(spark):
+    r = np.random.default_rng(1)
+    model = quality_cnn.QualityModel(r.normal(size=(5, 256, 10)).astype(np.float32), r.normal(size=10).astype(np.float32), r.normal(size=10).astype(np.float32), 0.3)
+    texts = [None, "", "a", "abé", "x" * 256, "y" * 257, "word " * 300, "".join(chr(97 + k * k % 26) for k in range(1500))]
+
+    def naive(text):
+        data = (text or "\0").encode()
+        padded = data + bytes(5)
+        responses = np.array([sum(model.filters[k, padded[p + k]] for k in range(5)) for p in range(len(data))])
+        cells = [responses[a : a + 256].max(axis=0) for a in range(0, len(data), 256)]
+        chunks = np.array([np.maximum(x, y) for x, y in zip(cells, [*cells[1:], cells[-1]], strict=True)])
+        return 1 / (1 + math.exp(-float(chunks.max(axis=0) @ model.top + chunks.mean(axis=0) @ model.mean + 0.3)))
+
+    rows = [(k, t, "s") for k, t in enumerate(texts)] + [(None, "a", "s"), (2, "a", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    want = sorted((k if k is not None else -1, naive(t)) for k, t, _ in rows)
+    got = sorted((x["doc_id"] if x["doc_id"] is not None else -1, x["score"]) for x in quality_cnn.score(df, "doc_id", "text", model).collect())
+    assert [x for x, _ in got] == [x for x, _ in want] and all(abs(a - b) < 1e-4 for (_, a), (_, b) in zip(got, want, strict=True))
+    kept = quality_cnn.keep_good(df, "doc_id", "text", model, 0.3)
+    assert kept.columns == df.columns and kept.count() == sum(s >= 0.3 for _, s in got)
+    assert quality_cnn.score(df.where("false"), "doc_id", "text", model).count() == 0
+
+
+def test_the_sample_takes_one_row_of_an_id_and_keeps_to_its_bytes(spark):
+    docs = spark.createDataFrame([(1, "a" * 50), (1, "b" * 50), (1, "a" * 50), *((k, "t" * 100) for k in range(2, 60))], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(1, 1)], "doc_id long, y int")
+    rows = labelled_sample(docs, "doc_id", "text", labels, "y", lambda i: i >= 0, 1000)
+    assert len(rows) == 59 and sum(len(t) == 50 for t, *_ in rows) == 1
+    assert sum(len(t) for t, *_ in labelled_sample(docs, "doc_id", "text", labels, "y", lambda i: i >= 0, 1000, most_bytes=1_050)) in range(950, 1051)
+    assert labelled_sample(docs.where("false"), "doc_id", "text", labels, "y", lambda i: i >= 0, 9) == []
+
+
 def test_the_sample_is_bounded_and_keeps_to_its_fold(spark):
     docs = spark.createDataFrame([(k, f"t{k}") for k in range(2000)], "doc_id long, text string")
     labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("y"))
@@ -395,6 +554,17 @@ def test_archives_round_trip(spark):
     some = index.where("page_id in (1, 7)")
     assert {x["page_id"] for x in warc.read_records(some, payload=False).collect()} == {1, 7}
     assert warc.read_records(warc.write_archive(df.where("false"), "page_id", "url", "html")).count() == 0
+    assert warc.dangling(index).count() == 0 and warc.dangling(index.where("page_id = 5 or page_id = 1")).count() == 1
+
+
+def test_many_revisits_of_one_payload_and_an_index_kept_beside_the_archives(spark, tmp_path):
+    page = "<p>" + "x" * 200
+    df = spark.range(2000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 3 > 0, page).otherwise(F.concat(F.lit(page), "id")).alias("html"))
+    warc.write_archive(df, "page_id", "url", "html", f"file://{tmp_path}/a")
+    index = warc.read_index(spark, f"file://{tmp_path}/a")
+    got = warc.read_records(index, payload=False).collect()
+    assert len(got) == 2000 and {(x["record_type"], x["refers_to"]) for x in got if x["page_id"] % 3 and x["page_id"] != 1} == {("revisit", 1)}
+    assert all(x["record_type"] == "response" for x in got if x["page_id"] % 3 == 0 or x["page_id"] == 1) and warc.dangling(index).count() == 0
 
 
 def test_ranges_coalesce():
@@ -419,15 +589,61 @@ def test_mixing_meets_its_targets(spark):
         out = mixing.mix(df, "doc_id", "text", labelled, "domain", weights, least_rate=least)
         got = out.collect()
         assert len(got) == len(rows) and all(x["rate"] >= least for x in got)
-        total = {d: sum(x["rate"] * x["n_tokens"] * x[f"p_{d}"] for x in got) for d in weights}
+        total = {d: sum(x["rate"] * x["n_words"] * x[f"p_{d}"] for x in got) for d in weights}
         assert all(abs(total[d] / sum(total.values()) - w) < 1e-3 for d, w in weights.items())
         lang = {k: d for k, _, d in rows}
-        assert sum(x["domain"] == lang[x["doc_id"]] for x in got if x["n_tokens"]) >= 0.95 * len(got)
+        assert sum(x["domain"] == lang[x["doc_id"]] for x in got if x["n_words"]) >= 0.95 * len(got)
     again = mixing.apply_rates(df, "doc_id", "text", out)
     assert again.columns == df.columns and {x["doc_id"] for x in again.collect()} == {x[0] for x in rows}
     assert mixing.mix(df.where("false"), "doc_id", "text", labelled, "domain", weights).count() == 0
 
 
+def test_rates_are_the_least_squares_optimum(spark):
+    """The conditions of an optimum, where targets can be met and where they cannot."""
+    r = np.random.default_rng(6)
+    rows = [(int(r.integers(1, 3)), int(r.integers(0, 50)), *map(float, p)) for p in r.dirichlet([0.2, 0.2, 0.2], 200)]
+    df = spark.createDataFrame(rows, "copies long, n_words long, p0 double, p1 double, p2 double")
+    weight = np.array([a * b for a, b, *_ in rows], float)
+    p = np.array([x[2:] for x in rows])
+    for targets, least in (([900.0, 1500.0, 600.0], 0.0), ([0.0, 4000.0, 100.0], 0.0), ([900.0, 1500.0, 600.0], 1.0), ([1e5, 1e5, 1e5], 1.0)):
+        table, off = mixing.fit_rates(df, targets, least)
+        got = {(x["copies"], x["n_words"], x["p0"], x["p1"], x["p2"]): x["rate"] for x in table.collect()}
+        rate = np.array([got[x] for x in rows])
+        assert np.abs(np.array(targets) - (weight * rate) @ p - off).max() < 1e-6 * max(targets)
+        gradient = -p @ np.array(off)
+        free = rate > least + 1e-9
+        near = (5e-3 if max(np.abs(off)) > 1e-5 * max(targets) else 1e-5) * max(targets)
+        assert (rate >= least).all() and (gradient >= -near).all() and (np.abs(gradient[free]) <= near).all()
+
+
+def test_a_fit_that_does_not_settle_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "STEPS", 0)
+    df = spark.createDataFrame([(1, 5, 0.9, 0.1)], "copies long, n_words long, p0 double, p1 double")
+    with pytest.raises(mixing.NotConverged):
+        mixing.fit_rates(df, [1.0, 2.0], 0.0)
+
+
+def test_posteriors_equal_naive_bayes(spark):
+    texts = [(1, "the cat. The 12 ###", "a"), (2, "le chat\tnoir", "b"), (3, "the the le", "a"), (4, None, "b"), (5, "", None), (None, "42 42", "a"), (6, "the " * 30_000, "b"), (6, "the " * 30_000, "b")]
+    df = spark.createDataFrame([(*x, 0.5) for x in texts], "doc_id long, text string, domain string, p0 double")
+    labelled = df.where("doc_id <= 4").select("text", "domain")
+    bucket = lambda w: spark.range(1).select(mixing._bucket(F.lit(w))).first()[0]
+    counts = {"a": {}, "b": {}}
+    for k, t, d, in texts[:4]:
+        for w in (t or "").lower().split():
+            counts[d][bucket(w)] = counts[d].get(bucket(w), 0) + 1
+    model, unseen, priors = mixing.word_model(labelled, "text", "domain", ["a", "b"])
+    for x in mixing.posteriors(df, "doc_id", "text", model, unseen, priors).collect():
+        text = next(t for k, t, _ in texts if k == x["id"]) or ""
+        own = text.lower().split()
+        logit = [priors[j] + sum(math.log((counts[d].get(bucket(w), 0) + 0.5) / (sum(counts[d].values()) + 0.5 * mixing.BUCKETS)) for w in {w: 0 for w in own} for _ in range(own.count(w))) if len(own) < 100 else 0.0 for j, d in enumerate("ab")]
+        assert x["n_words"] == len(own) and x["copies"] == (2 if x["id"] == 6 else 1)
+        if len(own) < 100:
+            assert abs(x["p0"] - 1 / (1 + math.exp(logit[1] - logit[0]))) < 1e-9
+    empty, unseen, priors = mixing.word_model(labelled.where("false"), "text", "domain", ["a", "b"])
+    assert {round(x["p0"], 9) for x in mixing.posteriors(df, "doc_id", "text", empty, unseen, priors).collect()} == {0.5}
+
+
 # ---- 9
 
 

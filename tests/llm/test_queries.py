@@ -1,0 +1,134 @@
+"""The registered queries on a small folder of tables, each against brute force or its SQL."""
+
+import hashlib
+import math
+import random
+import zlib
+from itertools import combinations
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from test_operators import brute_fingerprint, brute_links, classes, words
+from test_suffix_dedup import brute
+
+from keyfold.llm import bpe
+from keyfold.llm.queries import QUERIES, SQL
+
+
+def tables(spark, folder, flip=None):
+    """Writes the tables; ``flip`` (column, parts, remainder) turns the labels of a fold round."""
+    r = random.Random(21)
+    passage = words(r, 45)
+    docs = []
+    for k in range(260):
+        text = " ".join(words(r, 8) + "." for _ in range(r.randrange(2, 12)))
+        if k % 5 == 0:
+            text = " ".join(w + "***" for w in text.split())
+        if k % 4 == 1:
+            text += f" such {r.choice(['rotten', 'vile'])} {words(r, 3)}."
+        docs.append([k, text])
+    docs[40][1] = docs[3][1]
+    docs[41][1] = docs[3][1].upper()
+    docs[50][1] = passage + " " + docs[50][1]
+    docs[51][1] += " " + passage + " é字"
+    docs[60][1], docs[61][1], docs[62][1], docs[63][1] = None, "", " \n\t", words(r, 20_000)
+    spark.createDataFrame([(k, t, "en" if k % 3 else "fr", "s", len(t or "")) for k, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    labels = []
+    for k, _ in docs:
+        own = {"quality": int(k % 5 > 0), "toxic": int(k % 4 == 1)}
+        if flip and zlib.crc32(str(k).encode()) % flip[1] == flip[2]:
+            own[flip[0]] = 1 - own[flip[0]]
+        labels.append((k, own["quality"], own["toxic"]))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    n = np.random.default_rng(2)
+    base = n.normal(size=(30, 16))
+    vectors = np.concatenate([base, base[:10] + 0.05 * n.normal(size=(10, 16)), base[:5]]).astype(np.float32)
+    rows = [(k, v) for k, v in enumerate(vectors.tolist())] + [(100, None), (101, [0.0] * 16), (102, [math.inf] + [1.0] * 15)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
+    pages = [(k, f"http://x/{k}", "<p>" + "y" * (150 + k % 4 * 50) if k % 5 else f"<p>{k}") for k in range(40)] + [(50, "u", None), (51, "u", "")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    return dict(docs), vectors, pages
+
+
+@pytest.fixture(scope="module")
+def small(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("sf"))
+    return folder, *tables(spark, folder)
+
+
+def rows(spark, name, folder):
+    return [x.asDict() for x in QUERIES[name](spark, folder).collect()]
+
+
+def test_op1(spark, small):
+    got = {x["vec_id"]: (x["n_links"], x["component_id"], x["kept"]) for x in rows(spark, "op1_embedding_dedup", small[0])}
+    degree, label = brute_links(small[2].astype(np.float64))
+    assert degree.sum() > 0
+    assert got == {k: (int(d), int(c), bool(c == k)) for k, (d, c) in enumerate(zip(degree, label, strict=True))} | {k: (0, k, True) for k in (100, 101, 102)}
+
+
+def test_op2(spark, small):
+    prints = {k: brute_fingerprint(t, 4) for k, t in small[1].items()}
+    label = classes(prints, [(a, b) for a, b in combinations(sorted(prints), 2) if (prints[a] ^ prints[b]).bit_count() <= 4])
+    got = {x["doc_id"]: (x["fingerprint"], x["component_id"]) for x in rows(spark, "op2_simhash", small[0])}
+    assert got == {k: (f"{prints[k]:016x}", label[k]) for k in prints}
+
+
+def test_op3_and_op10(spark, small):
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    ids = {k: encoding.encode_ordinary(t or "") for k, t in small[1].items()}
+    sections = rows(spark, "op3_token_counts", small[0])
+    assert {k: sum(x["n_tokens"] for x in sections if x["doc_id"] == k) for k in ids} == {k: len(v) for k, v in ids.items()}
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    got = {x["doc_id"]: (x["n_tokens"], x["ids_sha256"], x["decoded_sha256"]) for x in rows(spark, "op10_bpe", small[0])}
+    assert got == {k: (len(v), sha(" ".join(map(str, v)).encode()), sha((small[1][k] or "").encode())) for k, v in ids.items()}
+
+
+def test_op5(spark, small):
+    got = sorted((x["doc_id"], x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in rows(spark, "op5_suffix_dedup", small[0]))
+    assert got == brute(sorted(small[1].items())) and sum(x[2] for x in got) > 400
+
+
+def test_op6(spark, small):
+    pages = small[3]
+    first = {}
+    for k, _, html in pages:
+        first.setdefault(html or "", k)
+    got = {x["page_id"]: (x["payload_bytes"], x["payload_digest"], x["record_type"], x["refers_to"]) for x in rows(spark, "op6_warc", small[0])}
+    want = {}
+    for k, _, html in pages:
+        body = (html or "").encode()
+        again = len(body) >= 100 and first[html] != k
+        want[k] = (len(body), hashlib.sha256(body).hexdigest(), "revisit" if again else "response", first[html] if again else None)
+    assert got == want and sum(x[2] == "revisit" for x in want.values()) > 20
+
+
+@pytest.mark.parametrize(("name", "label", "parts", "remainder", "truth"), [("op4_toxicity", "toxic", 4, 2, lambda k: k % 4 == 1), ("op7_quality", "quality", 5, 0, lambda k: k % 5 > 0)])
+def test_op4_and_op7_learn_from_their_folds_only(spark, small, tmp_path, name, label, parts, remainder, truth):
+    got = {x["doc_id"]: (x["held_out"], x["score"], x["predicted"]) for x in rows(spark, name, small[0])}
+    assert set(got) == set(small[1]) and all(0 <= s <= 1 and p == int(s >= 0.3) for _, s, p in got.values())
+    held = {k for k in got if zlib.crc32(str(k).encode()) % parts == remainder}
+    assert held == {k for k, x in got.items() if x[0]}
+    plain = [k for k in held if k not in (40, 41, 50, 51, 60, 61, 62, 63)]
+    assert sum(got[k][2] == truth(k) for k in plain) >= 0.8 * len(plain)
+    tables(spark, str(tmp_path / "flipped"), (label, parts, remainder))
+    assert {x["doc_id"]: (x["held_out"], x["score"], x["predicted"]) for x in rows(spark, name, str(tmp_path / "flipped"))} == got
+
+
+def test_op8(spark, small):
+    got = rows(spark, "op8_mixing", small[0])
+    assert {x["doc_id"] for x in got} == set(small[1]) and all(x["rate"] >= 0 for x in got)
+    assert {x["doc_id"]: x["n_words"] for x in got} == {k: len((t or "").split()) for k, t in small[1].items()}
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_queries_equal_their_sql(spark, small, name):
+    with duckdb.connect() as con:
+        for table in ("documents", "labels", "embeddings", "pages"):
+            con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{small[0]}/{table}.parquet/*.parquet'")
+        found = con.sql(SQL[name])
+        want = sorted(repr(dict(sorted(zip(found.columns, x, strict=True)))) for x in found.fetchall())
+    assert sorted(repr(dict(sorted(x.items()))) for x in rows(spark, name, small[0])) == want

@@ -1,8 +1,10 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
+from keyfold.llm import suffix_dedup
 from keyfold.llm.suffix_dedup import LENGTH, remove_repeats
 
 
@@ -61,3 +63,39 @@ def test_null_id_repeated_rows_long_text_and_empty_table(spark):
     assert got == {(1, 400_000, 0), (None, 400_000, 0), (2, 400_000, 400_000), (3, 0, 0), (4, 0, 0)}
     assert remove_repeats(df, "doc_id", "text").count() == 6
     assert remove_repeats(df.where("false"), "doc_id", "text").count() == 0
+
+
+def test_anchors_do_not_depend_on_segments(monkeypatch):
+    r = random.Random(5)
+    texts = [bytes(r.choice(b"abcd") for _ in range(n)) for n in (0, 49, 50, 51, 400, 3, 1200, 70)] + [b"a" * 300]
+    sizes, ids = np.array([len(t) for t in texts]), np.arange(len(texts))
+    whole = suffix_dedup.Batch(b"".join(texts), sizes, ids)
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 37)
+    parts = suffix_dedup.Batch(b"".join(texts), sizes, ids)
+    for name in ("anchor", "low", "high", "gram", "stretch", "document"):
+        assert (getattr(whole, name) == getattr(parts, name)).all()
+    assert (whole.high - whole.low + 1).sum() == sum(max(0, len(t) - 49) for t in texts)
+
+
+def test_a_gram_in_many_surroundings_is_held_once():
+    r = np.random.default_rng(3)
+    gram = np.array([7], np.uint64)
+    batches = [(b, gram, r.integers(1, 40, 1).astype(np.uint64), np.array([b], np.uint32)) for b in range(200)]
+    replies = suffix_dedup._scan_bucket(iter(batches), False)
+    seen, want_hit, want_open = set(), set(), set()
+    for b, _, second, _ in batches:
+        if int(second[0]) in seen:
+            want_hit.add(b)
+        elif seen:
+            want_open |= {b, 0}
+        seen.add(int(second[0]))
+    assert {b for b, x in replies.items() if x[0]} == want_hit and {b for b, x in replies.items() if x[1]} == want_open
+    assert sum(len(x) for x in replies[0][1]) == 1
+
+
+def test_equal_keys_with_other_second_keys_do_not_match():
+    levels = suffix_dedup.Levels()
+    key = np.array([5, 5, 5, 9], np.uint64)
+    levels.add([key, np.array([3, 1, 2, 1], np.uint64)])
+    levels.add([np.array([5], np.uint64), np.array([8], np.uint64)])
+    assert levels.has(np.array([5, 5, 5, 9, 4], np.uint64), np.array([2, 8, 7, 1, 1], np.uint64)).tolist() == [True, True, False, True, False]
