@@ -97,16 +97,21 @@ class Batch:
 
     def checks(self, windows: np.ndarray) -> np.ndarray:
         """Second hashes of LENGTH-byte windows, independent of the first: multilinear in their 8-byte lanes."""
-        out = np.empty(len(windows), U)
+        out = np.zeros(len(windows), U)
+        if not len(windows):
+            return out
+        lanes = np.ndarray(len(self.data) - 7, "<u8", self.data, strides=(1,))  # the 8 bytes from each place on; the last lane overlaps
         for i in range(0, len(windows), 1 << 16):
             own = windows[i : i + (1 << 16)]
-            lanes = np.zeros((len(own), 8 * _LANES), np.uint8)
-            lanes[:, :LENGTH] = self.data[own[:, None] + np.arange(LENGTH)]
-            x = lanes.view(U)
-            x ^= x >> U(32)
-            x *= _LANE
-            x ^= x >> U(29)
-            out[i : i + len(own)] = _mix((x * _LANE[::-1]).sum(axis=1, dtype=U))
+            total = out[i : i + len(own)]
+            for k in range(_LANES):
+                x = lanes[own + min(8 * k, LENGTH - 8)]
+                x ^= x >> U(32)
+                x *= _LANE[k]
+                x ^= x >> U(29)
+                x *= _LANE[-1 - k]
+                total += x
+            _mix(total)
         return out
 
     def _anchors(self) -> None:
@@ -165,7 +170,7 @@ class Batch:
 
     def classes(self):
         """Anchors of equal gram and stretch: order, first of each class, class of each, and which grams vary."""
-        order = np.lexsort((self.anchor, self.stretch, self.gram))
+        order = np.lexsort((self.stretch, self.gram))  # anchors ascend, so equal ones stay in order
         g, s = self.gram[order], self.stretch[order]
         new = np.ones(len(order), bool)
         new[1:] = (g[1:] != g[:-1]) | (s[1:] != s[:-1])
@@ -318,8 +323,7 @@ def _scan_bucket(rows: Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]],
             met.append((which, level, low))
         whole = second != 0
         ask = np.flatnonzero(known & ~seen & whole)
-        both = _mix(keys ^ second)
-        seen[ask[others.has(both[ask], second[ask])]] = True
+        seen[ask[others.has(_mix(keys[ask] ^ second[ask]), second[ask])]] = True
         partial = known & ~seen
         for which, level, low in met:
             # the gram's first entry has to show its windows once another stretch of it is there
@@ -332,7 +336,7 @@ def _scan_bucket(rows: Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]],
         reply(batch, 1, place[partial & whole])
         new, more = ~known, partial & whole
         firsts.add([keys[new], second[new], np.full(new.sum(), batch), place[new], np.zeros(new.sum(), np.int8)])
-        others.add([both[more], second[more]])
+        others.add([_mix(keys[more] ^ second[more]), second[more]])
     return replies
 
 
@@ -400,7 +404,10 @@ def _windows(own: Batch, hit: list[bytes] | None, opened: list[bytes] | None):
     windows = (start + np.arange(counts.sum())).astype(np.int64)
     hashes = own.hashes(windows, windows + LENGTH)
     checks = own.checks(windows)
-    order = np.lexsort((windows, checks, hashes))
+    order = np.argsort(hashes, kind="stable")  # windows ascend, so equal ones stay in order
+    h, c = hashes[order], checks[order]
+    if ((h[1:] == h[:-1]) & (c[1:] != c[:-1])).any():
+        order = np.lexsort((windows, checks, hashes))
     return np.cumsum(gone[:-1]) > 0, windows[order], hashes[order], checks[order]
 
 
