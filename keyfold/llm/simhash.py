@@ -24,13 +24,13 @@ bits.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructType
@@ -48,8 +48,11 @@ WIDE_BYTES, LISTS, SCREEN_BITS, MOST_SCREENED = 96, 160, 64, 20
 PLANES = (WIDE_BYTES * 8 + SCREEN_BITS) // 64
 #: Standard errors by which the limit of wide fingerprints lies beyond the least similarity.
 LENIENCE = 1.3
-CHUNK = 8_192
-ROW, WIDE = "_row", "_wide"
+CHUNK = 2_048
+WIDE = "_wide"
+#: Texts are split into words a piece of about this many bytes at a time.
+PIECE = 1 << 18
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -74,17 +77,21 @@ def turan_triples(n: int = POSITIONS) -> list[tuple[int, int, int]]:
 
 def shingle_hashes(text: bytes, width: int) -> Iterator[np.ndarray]:
     """The hashes of a text's word shingles in order, repeats included, a bounded number at a time."""
-    words = text.translate(_ASCII_LOWER).split()
-    if not words:
-        return
-    joined = b" ".join(words)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(sizes + 1) - 1
-    starts = ends - sizes
-    digest, n = xxhash.xxh64_intdigest, max(1, len(words) - width + 1)
-    for i in range(0, n, 1 << 16):
-        bounds = zip(starts[i : min(i + (1 << 16), n)].tolist(), ends[min(width, len(words)) - 1 + i :].tolist(), strict=False)
-        yield np.array([digest(joined[a:b], SEED) for a, b in bounds], np.uint64)
+    digest, held, found, i = xxhash.xxh64_intdigest, [], False, 0
+    while i < len(text):
+        space = _SPACE.search(text, i + PIECE)
+        j = space.start() if space else len(text)
+        words = held + text[i:j].translate(_ASCII_LOWER).split()
+        i, held = j, words
+        if len(words) >= width:
+            joined = b" ".join(words)
+            sizes = np.fromiter(map(len, words), np.int64, len(words))
+            ends = np.cumsum(sizes + 1) - 1
+            bounds = zip((ends - sizes)[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
+            yield np.array([digest(joined[a:b], SEED) for a, b in bounds], np.uint64)
+            held, found = words[len(words) - width + 1 :], True
+    if held and not found:
+        yield np.array([digest(b" ".join(held), SEED)], np.uint64)
 
 
 def bit_counts(hashes: np.ndarray) -> np.ndarray:
@@ -411,25 +418,30 @@ def keep_one(df: DataFrame, id_column: str, text_column: str, width: int = 5, le
         raise ValueError("least must be above 0 and at most 1")
     ready(df.sparkSession)
     names = df.columns
-    row_name, wide_name = fresh(ROW, names), fresh(WIDE, names)
+    nulls = F.concat(*(F.when(F.col(x).isNull(), "1").otherwise("0") for x in names))
+    hashes = [F.xxhash64(F.lit(seed), nulls, *names) for seed in range(2)]
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, place = TaskContext.get().partitionId() << 33, names.index(text_column)
         for whole in batches:
-            for batch in text_slices(whole, text_column):
-                wide = [wide_fingerprint(t, width) for t in utf8(batch.column(place))]
-                rows = pa.array(np.arange(number, number + batch.num_rows))
-                number += batch.num_rows
-                yield pa.RecordBatch.from_arrays([*batch.columns, rows, pa.array(wide, pa.binary())], [*names, row_name, wide_name])
-
-    rows = stored(df.mapInArrow(mark, StructType([*df.schema.fields]).add(row_name, LongType()).add(wide_name, BinaryType())), "simhash-rows")
-    nodes = stored(rows.groupBy(F.col(wide_name).alias(WIDE)).agg(F.min(row_name).alias("node")), "simhash-nodes")
+            for batch in text_slices(whole, "text"):
+                wide = [wide_fingerprint(t, width) for t in utf8(batch.column("text"))]
+                yield pa.RecordBatch.from_arrays([pa.array(wide, pa.binary()), *(batch.column(k) for k in ("id", "h0", "h1"))], [WIDE, "id", "h0", "h1"])
+
+    source = df.select(F.col(text_column).alias("text"), F.col(id_column).alias("id"), hashes[0].alias("h0"), hashes[1].alias("h1"))
+    schema = StructType().add(WIDE, BinaryType()).add("id", df.schema[id_column].dataType).add("h0", LongType()).add("h1", LongType())
+    rows = stored(source.mapInArrow(mark, schema), "simhash-rows")
+    nodes = stored(rows.select(WIDE).distinct().withColumn("node", F.monotonically_increasing_id()), "simhash-nodes")
     links = stored(wide_links(nodes, most_bits(least)), "simhash-links")
     found = connected_components(links)
-    classes = nodes.join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select(F.col(WIDE).alias("_w"), F.coalesce("component", "node").alias("_group"))
-    order = F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), F.xxhash64(*names).alias("hash"), F.col(row_name).alias("row"))
-    narrow = rows.select(F.col(wide_name).alias("_wide"), order.alias("_order")).join(classes, F.col("_wide") == F.col("_w"))
-    kept = stored(narrow.groupBy("_group").agg(F.min("_order").alias("_least")).select(F.col("_least.row").alias("_kept")), "simhash-kept")
-    for old in (nodes, links):
+    classes = nodes.join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select(F.col(WIDE).alias("_w"), F.coalesce("component", "node").alias("group"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "h0", "h1")
+    equal = rows.join(classes, F.col(WIDE) == F.col("_w")).groupBy("group", "id", "h0", "h1").agg(F.count("*").alias("n"))
+    least_row = equal.groupBy("group").agg(F.min(F.struct(order.alias("order"), "n")).alias("least"))
+    own = [fresh(x, names) for x in ("_h0", "_h1", "_k0", "_k1", "_kn")]
+    kept = stored(least_row.select("least.order.h0", "least.order.h1", "least.n").toDF(*own[2:]), "simhash-kept")
+    for old in (rows, nodes, links):
         drop_stored(old)
-    return rows.join(kept.withColumnRenamed("_kept", fresh("_kept", names)), F.col(row_name) == F.col(fresh("_kept", names)), "left_semi").select(*names)
+    # rows that are equal in all columns have one place in the order, and one of them stays; only such rows are shuffled for that
+    marked = df.withColumns(dict(zip(own[:2], hashes, strict=True)))
+    chosen = lambda which: marked.join(kept.where(which), (F.col(own[0]) == F.col(own[2])) & (F.col(own[1]) == F.col(own[3])), "left_semi")
+    return chosen(F.col(own[4]) == 1).select(*names).union(chosen(F.col(own[4]) > 1).dropDuplicates(own[:2]).select(*names))
