@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -20,20 +18,29 @@ ROOT = str(Path(__file__).resolve().parents[2])
 #: The most bytes of labelled texts that the driver takes to fit a model on.
 SAMPLE_BYTES = 96 << 20
 #: Arrow batches are bounded by bytes as well as by rows, so that long texts make smaller batches.
-BATCH_LIMIT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+BATCH_LIMIT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20
+
+
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Environment of the Python workers: large arrays go back to the system when they are freed, as a worker outlives its task.
+WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package from the place the driver has it in.
+    """Lets Python workers import this package from the place the driver has it in, and give memory back.
 
-    Bounds the bytes of an Arrow batch where the session sets no bound of its own.
+    Bounds the bytes of an Arrow batch, and has Spark delete the shuffle files of a query
+    when it ends, where the session has no setting of its own.
     """
-    if spark.conf.get(BATCH_LIMIT, None) is None:
-        spark.conf.set(BATCH_LIMIT, str(BATCH_BYTES))
+    for name, value in ((BATCH_LIMIT, str(BATCH_BYTES)), (SHUFFLE_CLEANUP, "true")):
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, value)
     env = spark.sparkContext.environment
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in parts:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *parts])
+    for name, value in WORKER_MEMORY.items():
+        env.setdefault(name, value)
     return spark
 
 
@@ -82,14 +89,6 @@ def drop_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Has the driver forget unused shuffles now, so that their files go before the next large stage."""
-    for _ in range(2):  # the first round frees the plans, the second the shuffles that only they held
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def fresh(name: str, taken: list[str]) -> str:
     """A column name like ``name`` that is not among ``taken``, in any case."""
     known = {x.lower() for x in taken}
@@ -119,7 +118,7 @@ def texts(column: pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
-def text_slices(batch: pa.RecordBatch, text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def text_slices(batch: pa.RecordBatch, text: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Splits a batch where its texts pass ``most`` bytes, so Python holds few texts at once; a longer text stands alone."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
     start, held = 0, 0

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyfold.llm.common import ready, release_shuffles, stored, text_slices
+from keyfold.llm.common import ready, stored, text_slices
 
 LENGTH = 50
 K = 24
@@ -429,7 +429,6 @@ def _indexed(df: DataFrame, id_column: str, text_column: str, sources: bool, cha
     parts = int(max(1, min(size // (8 * BATCH_BYTES) + 1, 100_000)))
     buckets = int(max(LEAST_BUCKETS, size // BUCKET_BYTES))
     table = stored(_batch_rows(docs, parts), "suffix-batches", "none")
-    release_shuffles(spark)
 
     def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -442,7 +441,6 @@ def _indexed(df: DataFrame, id_column: str, text_column: str, sources: bool, cha
                     yield pa.RecordBatch.from_pylist(list(_runs(batch.column("batch")[i].as_py(), gram[keep], stretch[keep], np.flatnonzero(keep), buckets)), schema=_RUN)
 
     one = stored(_index(table.mapInArrow(first_round, RUN), buckets), "suffix-replies")
-    release_shuffles(spark)
     spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // SPREAD_BYTES)
     known = _with_replies(table, one, ["hit", "open"], spread)
 
@@ -456,7 +454,6 @@ def _indexed(df: DataFrame, id_column: str, text_column: str, sources: bool, cha
                     yield pa.RecordBatch.from_pylist(list(_runs(batch.column("batch")[i].as_py(), hashes[first], checks[first], np.arange(len(first)), buckets)), schema=_RUN)
 
     two = stored(_index(known.mapInArrow(second_round, RUN), buckets, windows=True), "suffix-replies")
-    release_shuffles(spark)
     known = _with_replies(known, two, ["hit2", "open2"], spread)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
