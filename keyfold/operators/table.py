@@ -343,7 +343,8 @@ class KVTable:
             batches = {} if batch is None else {batch[0]: batch[1]}
             if added or batches:
                 self._publish(added, seq, batches)
-            self.stats.logical += counted.get["bytes"] or 0
+            if added:  # without rows the optimizer may leave the observation out of the plan
+                self.stats.logical += counted.get["bytes"]
         self._after_write()
         return sum(r.entries for r in added)
 

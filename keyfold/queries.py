@@ -13,7 +13,7 @@ import tempfile
 import uuid
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyfold.functions.keys import fixed_width_key, in_range, text_key
@@ -138,16 +138,22 @@ def kv_range_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, (F.col("layer") < F.col("other")) & (F.col("first_key") <= F.col("last2")) & (F.col("first2") <= F.col("last_key"))).select("layer", "other")
 
 
+def _total(column) -> Column:
+    """The sum of a column, 0 without rows."""
+    return F.coalesce(F.sum(column), F.lit(0).cast("bigint"))
+
+
 def kv_io_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))
-    return changelog(spark, sf_dir).agg(F.sum(size).alias("logical"), F.sum(size + OVERHEAD).alias("wal"))
+    return changelog(spark, sf_dir).agg(_total(size).alias("logical"), _total(size + OVERHEAD).alias("wal"))
 
 
 def kv_space_amp(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = changelog(spark, sf_dir)
     size = F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))
-    held = resolve.live(changes).agg(F.sum(size).alias("live_bytes"))
-    return changes.agg(F.sum(size).alias("all_bytes")).join(held, F.lit(True)).select("all_bytes", "live_bytes", F.round(F.col("all_bytes") / F.col("live_bytes"), 6).alias("amplification"))
+    held = resolve.live(changes).agg(_total(size).alias("live_bytes"))
+    ratio = F.when(F.col("live_bytes") > 0, F.col("all_bytes") / F.col("live_bytes")).when(F.col("all_bytes") > 0, float("inf")).otherwise(float("nan"))
+    return changes.agg(_total(size).alias("all_bytes")).join(held, F.lit(True)).select("all_bytes", "live_bytes", F.round(ratio, 6).alias("amplification"))
 
 
 def kv_orders_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -308,7 +314,7 @@ QUERIES = {
     "kv_table_multi_get_misses": _written(lambda t, spark, sf_dir: t.multi_get_misses(_wanted(spark, sf_dir)), compacted=False),
     "kv_table_prefix": _written(lambda t, *_: t.prefix_scan("u00003/")),
     "kv_table_range_reversed": _written(_key_value(b"u00009", b"u00003"), compacted=False),
-    "kv_table_entries": _written(lambda t, *_: t.describe().agg(F.sum("entries").alias("entries"), F.sum("tombstones").alias("tombstones"), F.min("first_key").alias("first_key"), F.max("last_key").alias("last_key"))),
+    "kv_table_entries": _written(lambda t, *_: t.describe().agg(_total("entries").alias("entries"), _total("tombstones").alias("tombstones"), F.min("first_key").alias("first_key"), F.max("last_key").alias("last_key"))),
     "kv_table_tombstones": _written(lambda t, *_: resolve.tombstones(t._view().changes()[0]).select("key"), compacted=False),
     **{q.__name__: q for q in (kv_table_snapshot, kv_table_log_replay, kv_table_flush_crash, kv_table_stream, kv_table_delete_all, kv_table_orphans)},
 }
