@@ -1,4 +1,4 @@
-"""Exact repeat removal with a logarithmic family of sparse suffix arrays.
+"""Repeat removal with a logarithmic family of sorted gram and window hashes, in place of suffix arrays.
 
 Every byte covered by a LENGTH-byte string that also starts in a document with a smaller
 id goes. Documents are laid out in id order and cut into batches. Every LENGTH-byte
@@ -6,10 +6,10 @@ window of a text has an anchor: the place in it whose K-byte gram hashes lowest,
 leftmost on a tie. Equal windows have equal anchors, so only suffixes at anchors, about
 one in 14, are indexed.
 
-Each batch gets its suffix array: anchors sorted by their gram's hash, with a hash of the
-whole stretch of windows that share the anchor. Sorting by hash serves as any order does
-in which equal prefixes are adjacent, and splits the suffix space evenly into buckets. In
-a bucket the arrays of the batches arrive in id order; each is looked up in the existing
+Each batch gets an array of its anchors sorted by their gram's hash, with a hash of the
+whole stretch of windows that share the anchor. That is no suffix order: equal grams are
+adjacent, which is what matches of a fixed length need, and the hashes split evenly into
+buckets. In a bucket the arrays of the batches arrive in id order; each is looked up in the existing
 levels and what is new becomes a level itself, equal-sized levels merging geometrically,
 so a bucket of b batches has log b levels. A hit on the whole stretch settles all its
 windows. Where only the gram is shared, as at the borders of a repeated passage, the same
