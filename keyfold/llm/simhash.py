@@ -49,6 +49,8 @@ PLANES = (WIDE_BYTES * 8 + SCREEN_BITS) // 64
 #: Standard errors by which the limit of wide fingerprints lies beyond the least similarity.
 LENIENCE = 1.3
 CHUNK = 2_048
+#: Pairs of wide fingerprints compared at once, and postings handed on at once.
+PAIRS, ROWS = 1 << 13, 1 << 16
 WIDE = "_wide"
 #: Texts are split into words a piece of about this many bytes at a time.
 PIECE = 1 << 18
@@ -325,8 +327,12 @@ def _stars(key: np.ndarray, node: np.ndarray, near) -> Iterator[tuple[np.ndarray
         at = at[~hit]
 
 
-def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+def _differing(wide: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The bits in which rows ``a`` and ``b`` of the fingerprints differ, in blocks: lists name a row many times."""
+    out = np.empty(len(a), np.int64)
+    for i in range(0, len(a), PAIRS):
+        out[i : i + PAIRS] = np.bitwise_count(wide[a[i : i + PAIRS]] ^ wide[b[i : i + PAIRS]]).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def wide_links(nodes: DataFrame, limit: int) -> DataFrame:
@@ -350,14 +356,15 @@ def wide_links(nodes: DataFrame, limit: int) -> DataFrame:
             key, owner = keys.ravel()[order], order // LISTS
             stays = np.ones(len(key), bool)
             edges = [np.zeros((0, 2), np.int64)]
-            for member, lead in _stars(key, nodes_[owner], lambda a, b: _differing(wide[owner[a]], wide[owner[b]]) <= limit):
+            for member, lead in _stars(key, nodes_[owner], lambda a, b: _differing(wide, owner[a], owner[b]) <= limit):
                 stays[member] = False
                 edges.append(np.stack([nodes_[owner[member]], nodes_[owner[lead]]], axis=1))
             edges = np.unique(np.concatenate(edges), axis=0)
             key, owner = key[stays], owner[stays]
             screen = wide.view(np.int64)[:, -1]
             # a verified edge travels as a row with a negative key
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ((key, -1 - (edges[:, 0] & 0xFFFF)), (nodes_[owner], edges[:, 0]), (screen[owner], edges[:, 1]))], ["key", "node", "screen"])
+            out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ((key, -1 - (edges[:, 0] & 0xFFFF)), (nodes_[owner], edges[:, 0]), (screen[owner], edges[:, 1]))], ["key", "node", "screen"])
+            yield from (out.slice(i, ROWS) for i in range(0, out.num_rows, ROWS))
 
         for batch in batches:
             wide = np.frombuffer(b"".join(batch.column("wide").to_pylist()), np.uint64).reshape(-1, PLANES)
@@ -397,8 +404,9 @@ def wide_links(nodes: DataFrame, limit: int) -> DataFrame:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, PLANES) for k in ("wa", "wb"))
-            yield batch.select(["a", "b"]).filter(pa.array(_differing(a, b) <= limit))
+            both = np.concatenate([np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, PLANES) for k in ("wa", "wb")])
+            own = np.arange(batch.num_rows)
+            yield batch.select(["a", "b"]).filter(pa.array(_differing(both, own, own + batch.num_rows) <= limit))
 
     return met.where("sure").select("a", "b").union(both.mapInArrow(verify, "a bigint, b bigint"))
 
