@@ -42,7 +42,7 @@ BUCKET_BYTES = 48 << 20
 LEAST_BUCKETS = 128
 SPREAD_BYTES = 16 << 20
 #: Anchors are found a segment of windows at a time; a position in it has to fit in POSITION_BITS.
-SEGMENT = 1 << 22
+SEGMENT = 1 << 16
 POSITION_BITS = 23
 U = np.uint64
 _SEED = np.random.default_rng(20240229)
