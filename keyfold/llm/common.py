@@ -64,11 +64,11 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_folder(spark)}/keyfold-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: later stages start from the files."""
+def stored(df: DataFrame, tag: str, codec: str = "snappy", group_bytes: int = 128 << 20) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back: later stages start from the files; a task holds ``group_bytes`` while it writes."""
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    df.write.option("compression", codec).parquet(path)
+    df.write.option("compression", codec).option("parquet.block.size", str(group_bytes)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

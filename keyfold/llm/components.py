@@ -52,6 +52,28 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(links.select("b", "b").distinct())
 
 
+def deal_across(members: DataFrame, point: str, columns: list[str], size: int) -> DataFrame:
+    """Deals lists (key, component, ``columns``) out to (key, low, high), each of two blocks of about ``size`` members.
+
+    Members of different components meet in one of these at least. The largest component
+    of a list is cut into blocks of its own, which meet no other block of it, so that a
+    list of one component gives no rows. ``block`` is a member's own, by a hash of ``point``.
+    """
+    counts = members.groupBy("key", "component").agg(F.count("*").alias("n"))
+    mains = counts.groupBy(F.col("key").alias("_key")).agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("size")).where("m.n < size")
+    blocks = lambda n: F.ceil(n / size).cast("int")
+    mains = mains.select("_key", F.col("m.component").alias("_main"), blocks(F.col("m.n")).alias("_mains"), blocks(F.col("size") - F.col("m.n")).alias("_rests"))
+    split = members.join(mains, F.col("key") == F.col("_key"))
+    inside = F.col("component") == F.col("_main")
+    own = F.pmod(F.xxhash64(point), F.when(inside, F.col("_mains")).otherwise(F.col("_rests"))).cast("int")
+    split = split.select("key", *columns, inside.alias("_inside"), own.alias("_own"), "_mains", "_rests")
+    among = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("_other")
+    dealt = lambda rows, n, low, high, block: rows.select("key", *columns, "_own", among(n)).select("key", low.alias("low"), high.alias("high"), block.alias("block"), *columns)
+    rest, own, other = split.where("not _inside"), F.col("_own"), F.col("_other")
+    of_main = dealt(split.where("_inside"), "_rests", -1 - own, other, -1 - own)
+    return of_main.union(dealt(rest, "_mains", -1 - other, own, own)).union(dealt(rest, "_rests", F.least("_own", "_other"), F.greatest("_own", "_other"), own))
+
+
 def label_forest(adjacent, n: int):
     """Least index reachable from each of ``n`` points by a symmetric boolean matrix, in numpy."""
     import numpy as np

@@ -19,7 +19,9 @@ shingles have a Jaccard similarity of 0.8 differ in about 15 of 100 bits. Its
 fingerprints have WIDE_BYTES positional bytes more, indexed by LISTS triples of positions.
 At that distance no number of shared bytes is guaranteed, so the triples are many enough
 that about nine in ten pairs at 0.8 meet, and more above; what meets is verified on all
-bits.
+bits. That joins most of what is near. The pairs it leaves out, as they share no triple,
+settle elsewhere in a list or have fingerprints beyond the limit, come from the exact way of
+``prefix_lists``, which compares the shingles of texts in different components.
 """
 
 from __future__ import annotations
@@ -36,7 +38,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructType
 
 from keyfold.llm.common import drop_stored, fresh, ready, stored, text_slices, utf8
-from keyfold.llm.components import connected_components, label_forest
+from keyfold.llm.components import connected_components, deal_across, label_forest
+from keyfold.llm.prefix_lists import links_across
 
 SEED = 42
 POSITIONS = 8
@@ -54,6 +57,8 @@ PAIRS, ROWS = 1 << 13, 1 << 16
 WIDE = "_wide"
 #: Texts are split into words a piece of about this many bytes at a time.
 PIECE = 1 << 18
+#: Sets that a task remembers, so as to write each once.
+MOST_SEEN = 1 << 16
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _ASCII_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -179,20 +184,8 @@ def links(distinct: DataFrame, bits: int, list_size: int = LIST) -> DataFrame:
     stars = stored(near.select(F.col("node").alias("a"), F.col("lead.node").alias("b")).distinct(), "simhash-stars")
     labels = stored(connected_components(stars), "simhash-labels")
     named = long.join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("key", "fp", "node", F.coalesce("component", "node").alias("component"))
-    counts = named.groupBy("key", "component").agg(F.count("*").alias("n"))
-    mains = counts.groupBy(F.col("key").alias("_key")).agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("size")).where("m.n < size")
-    blocks = lambda n: F.ceil(n / list_size).cast("int")
-    mains = mains.select("_key", F.col("m.component").alias("main"), blocks(F.col("m.n")).alias("mains"), blocks(F.col("size") - F.col("m.n")).alias("rests"))
-    split = named.join(mains, F.col("key") == F.col("_key"))
-    inside = F.col("component") == F.col("main")
-    own = F.pmod(F.xxhash64("fp"), F.when(inside, F.col("mains")).otherwise(F.col("rests"))).cast("int")
-    split = split.select("key", "fp", "node", inside.alias("inside"), own.alias("own"), "mains", "rests")
-    among = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("other")
-    of_main = split.where("inside").select("key", "fp", "node", "own", among("rests")).select("key", (-1 - F.col("own")).alias("low"), F.col("other").alias("high"), "fp", "node")
-    rest = split.where("not inside")
-    to_main = rest.select("key", "fp", "node", "own", among("mains")).select("key", (-1 - F.col("other")).alias("low"), F.col("own").alias("high"), "fp", "node")
-    to_rest = rest.select("key", "fp", "node", "own", among("rests")).select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "fp", "node")
-    return _compared(short.union(of_main).union(to_main).union(to_rest), bits).union(stars)
+    dealt = deal_across(named, "fp", ["fp", "node"], list_size).drop("block")
+    return _compared(short.union(dealt), bits).union(stars)
 
 
 def _compared(dealt: DataFrame, bits: int) -> DataFrame:
@@ -273,12 +266,20 @@ _PLANE = _random.integers(1, 1 << 63, PLANES, np.uint64) * np.uint64(2) + np.uin
 _TRIPLES = np.concatenate([_random.permutation(WIDE_BYTES).reshape(-1, 3) for _ in range(-(-LISTS * 3 // WIDE_BYTES))])[:LISTS]
 
 
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    """The ascending hashes of a text's distinct shingles."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, width)]))
+
+
 def wide_fingerprint(text: bytes, width: int) -> bytes:
     """The SimHash of a text's distinct shingles, with as many hashes of each as PLANES; zero without words."""
-    parts = list(shingle_hashes(text, width))
-    if not parts:
+    return wide_of(shingle_set(text, width))
+
+
+def wide_of(own: np.ndarray) -> bytes:
+    """The wide fingerprint of a set of shingle hashes."""
+    if not len(own):
         return bytes(PLANES * 8)
-    own = np.unique(np.concatenate(parts))
     ones = np.zeros(PLANES * 64, np.int64)
     for i in range(0, len(own), 1 << 14):
         x = own[i : i + (1 << 14), None] * _PLANE
@@ -414,9 +415,10 @@ def wide_links(nodes: DataFrame, limit: int) -> DataFrame:
 def keep_one(df: DataFrame, id_column: str, text_column: str, width: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of ``df`` that remain if of each group of near duplicates exactly one row stays.
 
-    Texts link if the wide fingerprints of their distinct runs of ``width`` words are as
-    near as at a Jaccard similarity of ``least`` (see ``most_bits``); groups are what links
-    join. Texts without words, null and empty ones, are one group; a text of fewer than
+    Texts link if their distinct runs of ``width`` words have a Jaccard similarity of
+    ``least`` or more; all such pairs do. Texts a little less similar link as well if their
+    wide fingerprints are as near as at ``least`` (see ``most_bits``) and the index finds
+    them. Groups are what links join. Texts without words, null and empty ones, are one group; a text of fewer than
     ``width`` words is one shingle. Of a group the row with the least id stays, a null id
     coming after all others, and among rows of one id the one whose row hashes least.
     Ids need not be distinct; all columns are kept, whatever their names; an empty table
@@ -430,24 +432,38 @@ def keep_one(df: DataFrame, id_column: str, text_column: str, width: int = 5, le
     hashes = [F.xxhash64(F.lit(seed), nulls, *names) for seed in range(2)]
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for whole in batches:
             for batch in text_slices(whole, "text"):
-                wide = [wide_fingerprint(t, width) for t in utf8(batch.column("text"))]
-                yield pa.RecordBatch.from_arrays([pa.array(wide, pa.binary()), *(batch.column(k) for k in ("id", "h0", "h1"))], [WIDE, "id", "h0", "h1"])
+                wide, owns, sets = [], [], []
+                for text in utf8(batch.column("text")):
+                    own = shingle_set(text, width)
+                    wide.append(wide_of(own))
+                    held = own.tobytes()
+                    digest = xxhash.xxh64_intdigest(held, SEED) - (1 << 63)
+                    owns.append(digest)
+                    sets.append(None if digest in seen or not held else held)
+                    if len(seen) < MOST_SEEN:
+                        seen.add(digest)
+                new = [pa.array(wide, pa.binary()), pa.array(owns, pa.int64()), pa.array(sets, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*new, *(batch.column(k) for k in ("id", "h0", "h1"))], [WIDE, "own", "hashes", "id", "h0", "h1"])
 
     source = df.select(F.col(text_column).alias("text"), F.col(id_column).alias("id"), hashes[0].alias("h0"), hashes[1].alias("h1"))
-    schema = StructType().add(WIDE, BinaryType()).add("id", df.schema[id_column].dataType).add("h0", LongType()).add("h1", LongType())
-    rows = stored(source.mapInArrow(mark, schema), "simhash-rows")
+    schema = StructType().add(WIDE, BinaryType()).add("own", LongType()).add("hashes", BinaryType()).add("id", df.schema[id_column].dataType).add("h0", LongType()).add("h1", LongType())
+    rows = stored(source.mapInArrow(mark, schema), "simhash-rows", group_bytes=16 << 20)
     nodes = stored(rows.select(WIDE).distinct().withColumn("node", F.monotonically_increasing_id()), "simhash-nodes")
     links = stored(wide_links(nodes, most_bits(least)), "simhash-links")
     found = connected_components(links)
-    classes = nodes.join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select(F.col(WIDE).alias("_w"), F.coalesce("component", "node").alias("group"))
+    near = stored(nodes.join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select(WIDE, F.coalesce("component", "node").alias("component")), "simhash-near")
+    rest = links_across(rows.where("hashes is not null").select(WIDE, "own", "hashes"), near, WIDE, least)
+    joined = connected_components(rest).select("node", F.col("component").alias("_component"))
+    classes = near.join(joined, F.col("component") == F.col("node"), "left").select(F.col(WIDE).alias("_w"), F.coalesce("_component", "component").alias("group"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "h0", "h1")
     equal = rows.join(classes, F.col(WIDE) == F.col("_w")).groupBy("group", "id", "h0", "h1").agg(F.count("*").alias("n"))
     least_row = equal.groupBy("group").agg(F.min(F.struct(order.alias("order"), "n")).alias("least"))
     own = [fresh(x, names) for x in ("_h0", "_h1", "_k0", "_k1", "_kn")]
     kept = stored(least_row.select("least.order.h0", "least.order.h1", "least.n").toDF(*own[2:]), "simhash-kept")
-    for old in (rows, nodes, links):
+    for old in (rows, nodes, links, near, rest):
         drop_stored(old)
     # rows that are equal in all columns have one place in the order, and one of them stays; only such rows are shuffled for that
     marked = df.withColumns(dict(zip(own[:2], hashes, strict=True)))

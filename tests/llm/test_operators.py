@@ -12,7 +12,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from keyfold.llm import bpe, ego_join, line_rules, mixing, quality_cnn, simhash, token_counts, toxicity, warc
+from keyfold.llm import bpe, ego_join, line_rules, mixing, prefix_lists, quality_cnn, simhash, token_counts, toxicity, warc
 from keyfold.llm.common import labelled_sample
 from keyfold.llm.components import connected_components
 
@@ -701,3 +701,52 @@ def test_pipeline_stages_on_a_small_corpus(spark, tmp_path):
     assert ids[1] == ids[2] == ids[3] == ids[4]
     assert all(x["round_trip"] for x in now.collect())
     assert [x[0] for x in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "repeats", "mix", "encode"]
+
+
+@pytest.mark.parametrize("size", [1_024, 5])
+def test_shingle_sets_across_components_match_brute_force(spark, size, monkeypatch):
+    monkeypatch.setattr(prefix_lists, "LIST", size)
+    r = np.random.default_rng(size)
+    line = r.integers(0, 1 << 63, 30, np.uint64) * np.uint64(2)
+    sets = []
+    for k in range(60):
+        base = np.concatenate([line if k % 3 == 0 else line[:0], r.integers(0, 1 << 63, r.integers(1, 90), np.uint64) * np.uint64(2)])
+        for _ in range(r.integers(1, 6)):
+            own = base[r.random(len(base)) < 1 - 0.15 * r.random()]
+            sets.append(np.unique(np.concatenate([own, r.integers(0, 1 << 63, r.integers(0, 1 + len(base) // 10), np.uint64)])))
+    # one text in many copies that are one component, and some near it that are not
+    sets += [np.unique(np.append(line, k + 1).astype(np.uint64)) for k in range(20)]
+    sets += [np.unique(np.concatenate([line[:k], [k]]).astype(np.uint64)) for k in range(20, 31)] + [np.zeros(0, np.uint64)] * 2
+    n, many = len(sets), len(sets) - 33
+    component = [many if many <= k < many + 18 else k for k in range(n)]
+    near = [(a, b) for a, b in combinations(range(n), 2) if len(sets[a]) and len(sets[b]) and 10 * len(np.intersect1d(sets[a], sets[b])) >= 8 * len(np.union1d(sets[a], sets[b]))]
+    want = {tuple(sorted((component[a], component[b]))) for a, b in near if component[a] != component[b]}
+    rows = [(bytes([k // 256, k % 256]), xxhash.xxh64_intdigest(x.tobytes()) - (1 << 63), bytearray(x.tobytes())) for k, x in enumerate(sets)]
+    table = spark.createDataFrame([*rows, *rows[:9]], "w binary, own long, hashes binary")
+    names = spark.createDataFrame([(bytes([k // 256, k % 256]), c) for k, c in enumerate(component)], "w binary, component long")
+    got = {tuple(sorted(x)) for x in prefix_lists.links_across(table, names, "w", 0.8).collect()}
+    assert len(want) > 50 and got == want
+    assert prefix_lists.links_across(table.where("false"), names, "w", 0.8).count() == 0
+
+
+@pytest.mark.parametrize("size", [1_024, 4])
+def test_no_pair_of_0_8_stays_whole(spark, size, monkeypatch):
+    monkeypatch.setattr(prefix_lists, "LIST", size)
+    r = random.Random(size)
+    texts = []
+    for _ in range(150):
+        base = [f"w{r.randrange(10**6)}" for _ in range(r.randrange(30, 300))]
+        texts.append(" ".join(base))
+        n = len(base) - 4
+        most = (n - 8 * (2 * n) // 18 - 1) if n > 20 else 0  # shingles that both may lose
+        for _ in range(2):
+            t, lost = list(base), 0
+            while lost + 5 <= most:
+                t[5 + lost] = f"n{r.randrange(10**6)}"
+                lost += 5
+            texts.append(" ".join(t))
+    _, similar = wide_classes(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {x["doc_id"] for x in simhash.keep_one(df, "doc_id", "text").collect()}
+    assert len(similar) >= 200 and not [x for x in similar if set(x) <= rows]
+    assert {k for k in range(0, len(texts), 3)} <= rows
