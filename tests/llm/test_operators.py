@@ -729,6 +729,57 @@ def test_shingle_sets_across_components_match_brute_force(spark, size, monkeypat
     assert prefix_lists.links_across(table.where("false"), names, "w", 0.8).count() == 0
 
 
+def test_pairs_that_meet_in_many_lists_make_no_rows(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    draw = lambda n: r.integers(0, 1 << 63, n, np.uint64) * np.uint64(2)
+    base = draw(240)
+    # one group in which all share many shingles and few are similar enough, two equal sets and two of very different counts of bits
+    sets = [np.unique(np.concatenate([base[r.random(240) < 0.8], draw(40)])) for _ in range(50)]
+    sets += [np.unique(np.concatenate([x[r.random(len(x)) < 0.96], draw(k)])) for k, x in enumerate(sets[:8])] + [sets[9]]
+    sets += [x := np.unique(draw(64)), np.unique(np.concatenate([x, draw(10)]))]
+    rows = [(bytes([k]), xxhash.xxh64_intdigest(x.tobytes()) - (1 << 63), bytearray(x.tobytes()), k) for k, x in enumerate(sets)]
+    want = {(a, b) for a, b in combinations(range(len(sets)), 2) if 10 * len(np.intersect1d(sets[a], sets[b])) >= 8 * len(np.union1d(sets[a], sets[b]))}
+    made, stored = {}, prefix_lists.stored
+
+    def counted(df, tag, *more, **named):
+        out = stored(df, tag, *more, **named)
+        made[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(prefix_lists, "stored", counted)
+    df = spark.createDataFrame(rows, "w binary, own long, hashes binary, component long")
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "37")  # lists and sets go on over batches
+    try:
+        got = {tuple(sorted(x)) for x in prefix_lists.links_across(df.select("w", "own", "hashes"), df.select("w", "component"), "w", 0.8).collect()}
+    finally:
+        spark.conf.set(limit, before)
+    assert len(want) >= 10 and got == want
+    assert max(made.values()) <= sum(prefix_lists.indexed(len(x), 0.8) for x in sets)
+    assert made["simhash-met"] <= 4 * len(want)
+
+
+def test_parities_differ_in_no_more_bits_than_sets_in_shingles():
+    r = np.random.default_rng(9)
+    draw = lambda n: r.integers(0, 1 << 63, n, np.uint64)
+    sets = []
+    for n in (1, 2, 60, 64, 65, 300, 1_000, 5_000, 40_000):
+        base = np.unique(draw(n))
+        sets += [base, *(np.unique(np.concatenate([base[r.random(len(base)) < keep], draw(n // 20)])) for keep in (0.99, 0.9, 0.5))]
+    bits = [prefix_lists.parities(x) for x in sets]
+    assert max(len(x) * 64 for x in bits) == prefix_lists.MOST_BITS and min(map(len, bits)) == 1
+    width = np.array(list(map(len, bits)))
+    a, b = np.array(list(combinations(range(len(sets)), 2))).T
+    got = prefix_lists._differing(np.concatenate(bits), np.cumsum(width) - width, width, a, b)
+    differ = np.array([len(np.setxor1d(sets[x], sets[y])) for x, y in zip(a, b, strict=True)])
+    assert (got <= differ).all()
+    # sets that share half of their shingles are told from similar ones
+    apart = np.array([x % 4 == 0 and y == x + 3 and len(sets[x]) >= 300 and len(sets[x]) < 20_000 for x, y in zip(a, b, strict=True)])
+    n, m = (np.array([len(sets[x]) for x in k]) for k in (a, b))
+    assert apart.sum() == 3 and (got > n + m - 2 * prefix_lists._needed(n, m, 0.8))[apart].all()
+
+
 @pytest.mark.parametrize("size", [1_024, 4])
 def test_no_pair_of_0_8_stays_whole(spark, size, monkeypatch):
     monkeypatch.setattr(prefix_lists, "LIST", size)
