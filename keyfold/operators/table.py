@@ -11,7 +11,7 @@ from pathlib import Path
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from keyfold.functions.keys import as_bytes, is_empty_range, successor
@@ -20,7 +20,8 @@ from keyfold.plans import planner, resolve
 from keyfold.plans.schema import CHANGELOG, DELETE, LIVE, PUT
 from keyfold.sources import manifest as mf
 from keyfold.sources import runs as rn
-from keyfold.sources.oplog import OpLog
+from keyfold.sources import segments as sg
+from keyfold.sources.oplog import OVERHEAD, OpLog
 
 FLUSH_THRESHOLD = 100_000
 RUN_ENTRIES = 4_000_000
@@ -34,15 +35,20 @@ class ClosedTable(Exception):
     """The table has been closed."""
 
 
+def _bad() -> Column:
+    """Whether a row (key, op, value, _seq) is no mutation."""
+    return F.col("key").isNull() | ~F.coalesce(F.col("op").isin(PUT, DELETE), F.lit(False)) | ((F.col("op") == PUT) & F.col("value").isNull()) | F.col("_seq").isNull()
+
+
 class Snapshot:
-    """A fixed state of a table: the runs of one manifest version and the buffer as it was.
+    """A fixed state of a table: the runs of one manifest version, the log segments and the buffer as they were.
 
     DataFrames from a snapshot stay readable until the snapshot is released and the
     table is vacuumed, whatever is written or compacted meanwhile.
     """
 
-    def __init__(self, table: KVTable, manifest: mf.Manifest, buffer: dict[bytes, tuple[str, bytes | None]]) -> None:
-        self._table, self.manifest, self._buffer = table, manifest, buffer
+    def __init__(self, table: KVTable, manifest: mf.Manifest, buffer: dict[bytes, tuple[str, bytes | None]], segments: tuple[sg.Segment, ...] = ()) -> None:
+        self._table, self.manifest, self._buffer, self.segments = table, manifest, buffer, segments
         self._held = True
 
     @property
@@ -52,13 +58,23 @@ class Snapshot:
     def changes(self, low: bytes | None = None, high: bytes | None = None) -> tuple[DataFrame, bool]:
         """The mutations of [low, high), and whether every key is in it once."""
         chosen = rn.prune(self.manifest.runs, low, high)
-        seq = self.manifest.next_seq
-        own = [(k, seq, op, v) for k, (op, v) in self._buffer.items() if (low is None or k >= low) and (high is None or k < high)]
         parts = [rn.read_runs(self.spark, self._table.path, chosen, low, high)] if chosen else []
-        if own or not parts:
-            parts.append(self.spark.createDataFrame(own, CHANGELOG))
-        out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        return out, len(parts) == 1 and (not chosen or rn.disjoint(chosen))
+        parts += self.unflushed(low, high)
+        if not parts:
+            parts.append(self.spark.createDataFrame([], CHANGELOG))
+        out = parts[0]
+        for x in parts[1:]:
+            out = out.unionByName(x)
+        return out, len(parts) == 1 and not self.segments and (not chosen or rn.disjoint(chosen))
+
+    def unflushed(self, low: bytes | None = None, high: bytes | None = None) -> list[DataFrame]:
+        """What no run holds yet of [low, high): the log segments, and over them the buffer."""
+        seq, parts = self.manifest.next_seq, []
+        if self.segments:
+            parts.append(rn.ranged(sg.read(self.spark, self._table.path, self.segments, seq), low, high))
+            seq += sum(s.records for s in self.segments)
+        own = [(k, seq, op, v) for k, (op, v) in self._buffer.items() if (low is None or k >= low) and (high is None or k < high)]
+        return [*parts, self.spark.createDataFrame(own, CHANGELOG)] if own else parts
 
     def winners(self, low: bytes | None = None, high: bytes | None = None) -> DataFrame:
         changes, single = self.changes(low, high)
@@ -90,7 +106,7 @@ class Snapshot:
         """
         chosen = sorted(rn.prune(self.manifest.runs, low, high), key=lambda r: r.first_key)
         buffered = any((low is None or k >= low) and (high is None or k < high) for k in self._buffer)
-        if is_empty_range(low, high) or buffered or not 0 < len(chosen) <= MOST_ORDERED_FILES or not rn.disjoint(chosen):
+        if is_empty_range(low, high) or buffered or self.segments or not 0 < len(chosen) <= MOST_ORDERED_FILES or not rn.disjoint(chosen):
             return None
         read = lambda r: rn.read_runs(self.spark, self._table.path, [r], low, high)
         return [resolve.without_deletes(read(r)).select("key", "value") for r in chosen]
@@ -128,7 +144,7 @@ class Snapshot:
     def release(self) -> None:
         if self._held:
             self._held = False
-            self._table._release(self.manifest.version)
+            self._table._release(self.manifest.version, self.segments)
 
     def __enter__(self) -> Snapshot:
         return self
@@ -141,8 +157,10 @@ class KVTable:
     """An ordered key-value table over layers of Parquet runs; one writing process at a time.
 
     Single mutations go to a log and a buffer, which becomes a level 0 run once it holds
-    ``flush_threshold`` distinct keys. ``put_all``, ``delete_all`` and ``apply_all`` write
-    a DataFrame as a run directly. The folder has to be on a file system with hard links.
+    ``flush_threshold`` distinct keys. ``log_all`` logs a DataFrame of single mutations
+    from its tasks, in segments that are read in place of a buffer. ``put_all``,
+    ``delete_all`` and ``apply_all`` write a DataFrame as a run directly. The folder has
+    to be on a file system with hard links.
 
     Writers take turns by one lock, which they hold through their Spark jobs. The state
     that readers see is swapped under another one, held for moments only, so no reader
@@ -159,6 +177,7 @@ class KVTable:
         self._changed = threading.Condition(self._lock)
         self._writer = threading.RLock()
         self._pins: Counter[int] = Counter()
+        self._segment_pins: Counter[sg.Segment] = Counter()
         self._scans: list[Snapshot] = []
         self._buffer: dict[bytes, tuple[str, bytes | None]] = {}
         self._closed = False
@@ -166,6 +185,8 @@ class KVTable:
         self._busy = threading.Lock()
         path.mkdir(parents=True, exist_ok=True)
         self._manifest = self._load()
+        self._segments = sg.load(path)
+        sg.clean(path, self._segments)
         self._log = OpLog(path / "wal.log", fsync)
         for op, key, value in self._log.recover():
             self._buffer[key] = (op, value)
@@ -211,11 +232,21 @@ class KVTable:
             self._check()
             state = self._manifest if version is None else mf.read(self.path, version)
             self._pins[state.version] += 1
-            return Snapshot(self, state, dict(self._buffer) if version is None else {})
+            if version is not None:
+                return Snapshot(self, state, {})
+            self._segment_pins.update(self._segments)
+            return Snapshot(self, state, dict(self._buffer), self._segments)
 
-    def _release(self, version: int) -> None:
+    def _release(self, version: int, segments: tuple[sg.Segment, ...]) -> None:
         with self._lock:
             self._pins[version] -= 1
+            self._segment_pins.subtract(segments)
+
+    def _clean_segments(self) -> None:
+        """Deletes the segments that are neither logged any more nor pinned."""
+        with self._lock:
+            sg.clean(self.path, {*self._segments, *(s for s, n in self._segment_pins.items() if n > 0)})
+            self._segment_pins = +self._segment_pins
 
     def _view(self) -> Snapshot:
         """A snapshot whose pin lasts until ``release_scans``, for DataFrames that run later."""
@@ -291,16 +322,51 @@ class KVTable:
         self._after_write()
 
     def flush(self) -> None:
-        """Writes the buffer as a level 0 run; does nothing if it is empty."""
+        """Writes the log segments and the buffer as a level 0 run; does nothing without any."""
         with self._writer:
             self._check()
-            if not self._buffer:
+            if not self._buffer and not self._segments:
                 return
             seq = self._manifest.next_seq
-            rows = [(k, seq, op, v) for k, (op, v) in sorted(self._buffer.items())]
-            added = rn.write_run(self.spark.createDataFrame(rows, CHANGELOG), self.path, 0, seq, max(self.run_entries, RUN_ENTRIES), 1)
+            if self._segments:
+                logged, *more = Snapshot(self, self._manifest, self._buffer, self._segments).unflushed()
+                won = resolve.newest(logged.unionByName(more[0]) if more else logged).withColumn("seq", F.lit(seq).cast("long"))
+                files = max(1, -(-sum(s.size for s in self._segments) // rn.RUN_BYTES))
+            else:
+                won = self.spark.createDataFrame([(k, seq, op, v) for k, (op, v) in sorted(self._buffer.items())], CHANGELOG)
+                files = 1
+            added = rn.write_run(won, self.path, 0, seq, max(self.run_entries, RUN_ENTRIES), files)
             self._publish(added, seq, {}, empties_buffer=True)
+            # the segments first: they are older, and replayed alone they would win over the run
+            sg.reset(self.path)
             self._log.reset()
+            self._clean_segments()
+
+    def log_all(self, df: DataFrame, order_by: str) -> int:
+        """Logs the rows (key, op, value) as single mutations in the order of a column, all or none, and returns their number.
+
+        The tasks of the DataFrame write the log and later replay it; neither rows nor
+        keys come to the driver. They become a run by ``flush``, which is called once
+        the segments hold ``flush_threshold`` mutations. Of rows with equal order the
+        greatest (op, value) is taken last. Refuses what ``apply_all`` refuses.
+        """
+        with self._writer:
+            self._check()
+            if self._buffer:
+                self.flush()
+            value = F.when(F.col("op") == PUT, F.col("value").cast("binary"))
+            rows = df.select(F.col("key").cast("binary").alias("key"), "op", value.alias("value"), F.col(order_by).alias("_seq"))
+            op = F.when(_bad(), F.raise_error(F.lit(REFUSED)).cast("string")).otherwise(F.col("op"))
+            added = self._checked(lambda: sg.write(rows.withColumn("op", op), "_seq", self.path, sg.tasks(rows)))
+            size, records = sum(s.size for s in added), sum(s.records for s in added)
+            self.stats.wal += size
+            self.stats.logical += size - OVERHEAD * records
+            with self._lock:
+                self._segments = (*self._segments, *added)
+            if sum(s.records for s in self._segments) >= self.flush_threshold:
+                self.flush()
+        self._after_write()
+        return records
 
     def put_all(self, df: DataFrame, order_by: str | None = None) -> int:
         """Puts the rows (key, value) of a DataFrame in one commit and returns their number.
@@ -330,11 +396,10 @@ class KVTable:
             order = F.lit(0) if order_by is None else F.col(order_by)
             value = F.when(F.col("op") == PUT, F.col("value").cast("binary"))
             rows = df.select(F.col("key").cast("binary").alias("key"), "op", value.alias("value"), order.alias("_seq"))
-            bad = F.col("key").isNull() | ~F.coalesce(F.col("op").isin(PUT, DELETE), F.lit(False)) | ((F.col("op") == PUT) & F.col("value").isNull()) | F.col("_seq").isNull()
             # counted before the shuffle on the key, which runs once: the stage after it also runs for the ranges
             counted = Observation()
             rows = rows.observe(counted, F.sum(F.coalesce(F.octet_length("key"), F.lit(0)) + F.coalesce(F.octet_length("value"), F.lit(0))).alias("bytes"))
-            won = rows.groupBy("key").agg(F.max(F.struct("_seq", "op", "value")).alias("w"), F.count("*").alias("n"), F.max(bad.cast("int")).alias("bad"))
+            won = rows.groupBy("key").agg(F.max(F.struct("_seq", "op", "value")).alias("w"), F.count("*").alias("n"), F.max(_bad().cast("int")).alias("bad"))
             op = F.when(F.col("bad") > 0, F.raise_error(F.lit(REFUSED)).cast("string"))
             if order_by is None:
                 op = op.when(F.col("n") > 1, F.raise_error(F.lit(REPEATED)).cast("string"))
@@ -365,7 +430,7 @@ class KVTable:
             self.stats.flush += sum(r.size for r in added)
             self._commit(added, set(), next_seq=seq + 1, batches=self._manifest.batches | batches)
             if empties_buffer:
-                self._buffer = {}
+                self._buffer, self._segments = {}, ()
             self._changed.notify_all()
 
     def _commit(self, added, removed: set[str], **more) -> None:
@@ -442,6 +507,7 @@ class KVTable:
             gone = [x for x in mf.run_folders(self.path) if x not in named]
             for name in gone:
                 shutil.rmtree(self.path / mf.RUNS / name, ignore_errors=True)
+            self._clean_segments()
             return len(gone)
 
     # ---- introspection
@@ -463,7 +529,7 @@ class KVTable:
         """metric, value: version, runs, populated levels, deepest level (-1 without runs), live-or-dead entries, buffered mutations, compactions, stalls."""
         with self._lock:
             runs, counts = self._manifest.runs, self.run_counts()
-            rows = [("version", self._manifest.version), ("run_files", len(runs)), ("populated_levels", len(counts)), ("deepest_level", planner.deepest(runs)), ("entries", sum(r.entries for r in runs)), ("tombstones", sum(r.tombstones for r in runs)), ("buffered", len(self._buffer)), ("compactions", self.compactions), ("write_stalls", self.write_stalls)]
+            rows = [("version", self._manifest.version), ("run_files", len(runs)), ("populated_levels", len(counts)), ("deepest_level", planner.deepest(runs)), ("entries", sum(r.entries for r in runs)), ("tombstones", sum(r.tombstones for r in runs)), ("buffered", len(self._buffer) + sum(s.records for s in self._segments)), ("compactions", self.compactions), ("write_stalls", self.write_stalls)]
         return self.spark.createDataFrame(rows, "metric string, value long")
 
     def io_stats(self) -> DataFrame:

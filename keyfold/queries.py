@@ -244,7 +244,7 @@ def kv_table_log_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Single mutations that only the log holds when the table is closed; the state after it is opened again."""
     folder = _folder(spark)
     with KVTable.open(spark, folder, flush_threshold=1 << 40, fsync=False) as table:
-        _single(spark, sf_dir, table)
+        table.log_all(changelog(spark, sf_dir), order_by="seq")
     with KVTable.open(spark, folder) as table:
         return shown(table.live())
 

@@ -41,8 +41,16 @@ def read_changelog(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def estimated_files(df: DataFrame) -> int:
     """How many files the optimizer's size of a plan makes, at most one for each shuffle partition."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(1, min(-(-size // RUN_BYTES), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return max(1, min(-(-estimated_bytes(df) // RUN_BYTES), shuffle_partitions(df)))
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size of a plan; exabytes where it knows none."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def write_run(changes: DataFrame, table: Path, level: int, seq: int, run_entries: int, files: int) -> list[RunMeta]:
@@ -95,7 +103,11 @@ def disjoint(runs: list[RunMeta]) -> bool:
 
 def read_runs(spark: SparkSession, table: Path, runs: list[RunMeta], low: bytes | None, high: bytes | None) -> DataFrame:
     """The mutations of the runs in [low, high): one scan over all files, with the range pushed down."""
-    changes = read_changelog(spark, [uri(table, r.path) for r in runs])
+    return ranged(read_changelog(spark, [uri(table, r.path) for r in runs]), low, high)
+
+
+def ranged(changes: DataFrame, low: bytes | None, high: bytes | None) -> DataFrame:
+    """The mutations in [low, high)."""
     return changes.where(in_range(F.col("key"), low, high)) if low is not None or high is not None else changes
 
 

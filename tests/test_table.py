@@ -12,8 +12,10 @@ from keyfold import cli
 from keyfold.operators.table import ClosedTable, KVTable
 from keyfold.plans import resolve
 from keyfold.plans.schema import CHANGELOG
+from keyfold.queries import QUERIES
 from keyfold.sources import manifest as mf
 from keyfold.sources import runs as rn
+from keyfold.sources import segments as sg
 from keyfold.streaming.sink import table_sink
 
 
@@ -435,3 +437,83 @@ def test_commands_and_their_codes(spark, tmp_path, args, code, said):
     out, err = io.StringIO(), io.StringIO()
     assert cli.run([str(tmp_path / "t") if x == "T" else x for x in args], out, err, spark) == code
     assert out.getvalue() == said and ("usage" in err.getvalue()) == (code == 2)
+
+
+def many(spark, n, keys, seed=5):
+    """Mutations in no order of their column, and the state after them."""
+    r, state = random.Random(seed), {}
+    out = [(at, b"k%04d" % r.randrange(keys), r.choice("PPD"), r.randbytes(r.randrange(0, 30))) for at in range(n)]
+    for _, key, op, value in out:
+        state[key] = value if op == "P" else None
+    r.shuffle(out)
+    return spark.createDataFrame([(at, k, op, v if op == "P" else None) for at, k, op, v in out], "at long, key binary, op string, value binary"), {k: v for k, v in state.items() if v is not None}
+
+
+def test_mutations_that_tasks_log_are_single_ones(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sg, "SEGMENT_BYTES", 4_000)
+    df, state = many(spark, 2_000, 300)
+    with KVTable.open(spark, tmp_path / "t") as table:
+        table.put_all(frame(spark, [(b"k0000", b"old"), (b"z", b"below")]))
+        table.put(b"k0001", b"before")
+        before = table.run_counts()[0]
+        assert table.log_all(df, order_by="at") == 2_000
+        assert table.stats.wal == sum(s.size for s in table._segments) + 17 + 11 and len(table._segments) > 10
+        assert table.run_counts() == {0: before + 1}  # what was logged singly before has been flushed
+        state[b"z"] = b"below"
+        table.put(b"k0002", b"after")
+        state[b"k0002"] = b"after"
+        assert rows(table.scan()) == sorted(state.items()) and table.size() == len(state)
+        assert rows(table.scan(b"k0100", b"k0200")) == sorted((k, v) for k, v in state.items() if b"k0100" <= k < b"k0200")
+        assert all(table.get(k) == state.get(k) for k in (b"k0000", b"k0002", b"k0150"))
+    with KVTable.open(spark, tmp_path / "t") as table:
+        held = table.live()
+        assert sorted(rows(held)) == sorted(state.items()) and len(table._segments) > 10
+        table.flush()
+        assert not table._segments and table._log.path.stat().st_size == 0 and not list((tmp_path / "t" / "wal").glob("*.json"))
+        assert sorted(rows(held)) == sorted(state.items())  # pinned
+        assert rows(table.scan()) == sorted(state.items())
+        table.release_scans()
+        table.vacuum()
+        assert not list((tmp_path / "t" / "wal").iterdir())
+    with KVTable.open(spark, tmp_path / "t", flush_threshold=1_000) as table:
+        assert rows(table.scan()) == sorted(state.items())
+        table.log_all(df, order_by="at")
+        assert not table._segments and table.run_counts()
+
+
+def test_tasks_log_all_or_nothing_and_damage_is_named(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sg, "READ_BYTES", 100)
+    df, state = many(spark, 200, 40)
+    with KVTable.open(spark, tmp_path / "t") as table:
+        for bad in ("cast(null as binary) as key, op, value, at", "key, 'X' as op, value, at", "key, 'P' as op, cast(null as binary) as value, at", "key, op, value, cast(null as long) as at"):
+            with pytest.raises(ValueError, match="null"):
+                table.log_all(df.selectExpr(*[x.strip() for x in bad.split(", ")]), order_by="at")
+        assert table.log_all(df.where("false"), order_by="at") == 0
+        assert not list((tmp_path / "t" / "wal").iterdir()) and table.size() == 0
+        table.log_all(df, order_by="at")
+        table.log_all(spark.createDataFrame([(b"k0001", "P", b"1", 0), (b"k0001", "D", None, 1), (b"k0002", "D", None, 0), (b"k0002", "P", b"2", 0)], "key binary, op string, value binary, at int"), order_by="at")
+    state.pop(b"k0001", None)
+    state[b"k0002"] = b"2"
+    (tmp_path / "t" / "wal" / f"b00000009-{'0' * 32}").mkdir()  # of a write that was never committed
+    with KVTable.open(spark, tmp_path / "t") as table:
+        assert rows(table.scan()) == sorted(state.items())
+        assert len(list((tmp_path / "t" / "wal").iterdir())) == 4
+        file = tmp_path / "t" / "wal" / table._segments[0].name
+        data = bytearray(file.read_bytes())
+        data[len(data) // 2] ^= 0xFF
+        file.write_bytes(data)
+        with pytest.raises(Exception, match="DamagedSegment"):
+            table.scan().collect()
+    file.write_bytes(data[:-1])
+    with pytest.raises(sg.DamagedSegment, match="length"):
+        KVTable.open(spark, tmp_path / "t")
+
+
+@pytest.mark.parametrize("name", ["kv_table_log_replay"])
+def test_no_mutation_comes_to_the_driver_to_be_logged(spark, tmp_path, monkeypatch, name):
+    for call in ("put", "delete"):
+        monkeypatch.setattr(KVTable, call, lambda *_: pytest.fail("a mutation came to the driver"))
+    monkeypatch.setattr(type(spark.range(0)), "toLocalIterator", lambda *_: pytest.fail("rows came to the driver"))
+    spark.sql("SELECT id AS event_id, id % 7 AS user_id, if(id % 5 = 0, 'error', 'view') AS event_type, id / 4 AS value FROM range(1000)").write.parquet(str(tmp_path / "events.parquet"))
+    want = sorted(map(tuple, QUERIES["kv_live_scan"](spark, str(tmp_path)).collect()))
+    assert want and sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect())) == want
