@@ -231,15 +231,6 @@ def kv_table_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
         return shown(table.snapshot(versions[LAYERS // 2 - 1]).live())
 
 
-def _single(spark: SparkSession, sf_dir: str, table: KVTable) -> None:
-    """Sends every mutation one by one, streamed through the driver: that is what the log and the buffer are for."""
-    for r in changelog(spark, sf_dir).orderBy("seq").toLocalIterator():
-        if r["op"] == "P":
-            table.put(bytes(r["key"]), bytes(r["value"]))
-        else:
-            table.delete(bytes(r["key"]))
-
-
 def kv_table_log_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Single mutations that only the log holds when the table is closed; the state after it is opened again."""
     folder = _folder(spark)
@@ -252,12 +243,12 @@ def kv_table_log_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kv_table_flush_crash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A crash after a flush was committed and before its log was emptied: the log is replayed over the run."""
     folder = _folder(spark)
-    log = os.path.join(folder, "wal.log")
+    log = os.path.join(folder, "wal")
     with KVTable.open(spark, folder, flush_threshold=1 << 40, fsync=False) as table:
-        _single(spark, sf_dir, table)
-        shutil.copy(log, log + ".kept")
+        table.log_all(changelog(spark, sf_dir), order_by="seq")
+        shutil.copytree(log, log + ".kept", copy_function=os.link, dirs_exist_ok=True)
         table.flush()
-    os.replace(log + ".kept", log)
+    shutil.copytree(log + ".kept", log, copy_function=os.link, dirs_exist_ok=True)
     with KVTable.open(spark, folder) as table:
         return shown(table.live())
 

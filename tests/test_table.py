@@ -509,7 +509,20 @@ def test_tasks_log_all_or_nothing_and_damage_is_named(spark, tmp_path, monkeypat
         KVTable.open(spark, tmp_path / "t")
 
 
-@pytest.mark.parametrize("name", ["kv_table_log_replay"])
+def test_a_crash_between_flush_and_the_reset_of_segments_loses_nothing(spark, tmp_path):
+    df, state = many(spark, 500, 80)
+    with KVTable.open(spark, tmp_path / "t") as table:
+        table.log_all(df, order_by="at")
+        shutil.copytree(tmp_path / "t" / "wal", tmp_path / "kept")
+        table.flush()
+    shutil.copytree(tmp_path / "kept", tmp_path / "t" / "wal", dirs_exist_ok=True)
+    with KVTable.open(spark, tmp_path / "t") as table:
+        assert table._segments and rows(table.scan()) == sorted(state.items())
+        table.compact()
+        assert not table._segments and rows(table.scan()) == sorted(state.items())
+
+
+@pytest.mark.parametrize("name", ["kv_table_log_replay", "kv_table_flush_crash"])
 def test_no_mutation_comes_to_the_driver_to_be_logged(spark, tmp_path, monkeypatch, name):
     for call in ("put", "delete"):
         monkeypatch.setattr(KVTable, call, lambda *_: pytest.fail("a mutation came to the driver"))
