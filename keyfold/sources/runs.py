@@ -76,15 +76,22 @@ def write_run(changes: DataFrame, table: Path, level: int, seq: int, run_entries
     return out
 
 
+def per_file(changes: DataFrame) -> DataFrame:
+    """A row for each file of runs: file, size, entries, tombstones, first, last.
+
+    The list of first keys has Spark aggregate by hash: the least and greatest keys alone
+    would be found by a sort of all rows, each with the path of its file.
+    """
+    first = F.collect_list(F.when(F.col("_metadata.row_index") == 0, F.col("key")))
+    return changes.groupBy(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size")).agg(
+        F.count("*").alias("entries"), F.sum((F.col("op") == DELETE).cast("bigint")).alias("tombstones"), F.element_at(first, 1).alias("first"), F.max("key").alias("last")
+    )
+
+
 def describe_folder(spark: SparkSession, table: Path, folder: str, level: int, seq: int) -> list[RunMeta]:
     """The descriptions of the files of a run folder, in key order; empty files do not count."""
-    per_file = (
-        read_changelog(spark, [uri(table, folder)])
-        .groupBy(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"))
-        .agg(F.count("*").alias("entries"), F.sum((F.col("op") == DELETE).cast("bigint")).alias("tombstones"), F.min("key").alias("first"), F.max("key").alias("last"))
-    )
     out = []
-    for r in per_file.collect():
+    for r in per_file(read_changelog(spark, [uri(table, folder)])).collect():
         name = Path(unquote(urlparse(r["file"]).path)).name
         out.append(RunMeta(f"{folder}/{name}", level, seq, r["entries"], r["tombstones"], r["size"], bytes(r["first"]), bytes(r["last"])))
     return sorted(out, key=lambda r: r.first_key)

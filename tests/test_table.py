@@ -530,3 +530,22 @@ def test_no_mutation_comes_to_the_driver_to_be_logged(spark, tmp_path, monkeypat
     spark.sql("SELECT id AS event_id, id % 7 AS user_id, if(id % 5 = 0, 'error', 'view') AS event_type, id / 4 AS value FROM range(1000)").write.parquet(str(tmp_path / "events.parquet"))
     want = sorted(map(tuple, QUERIES["kv_live_scan"](spark, str(tmp_path)).collect()))
     assert want and sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect())) == want
+
+
+def test_files_are_described_without_a_sort_of_their_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setitem(rn.WRITE_OPTIONS, "parquet.block.size", "20000")
+    monkeypatch.setitem(rn.WRITE_OPTIONS, "parquet.block.size.row.check.min", "100")
+    rows = [(bytearray(b"k%06d" % k), 3, "D" if k % 7 == 0 else "P", None if k % 7 == 0 else bytearray(random.Random(k).randbytes(30))) for k in range(9_000)]
+    made = spark.createDataFrame(rows, CHANGELOG)
+    small = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "30000")  # several tasks read a file
+    try:
+        for most in (9_000, 4_000, 20):  # 450 files at last, more than a hash aggregate of objects holds groups
+            got = rn.write_run(made, tmp_path, 0, 3, most, 1)
+            want = [rows[k : k + most] for k in range(0, 9_000, most)]
+            assert [(r.first_key, r.last_key, r.entries, r.tombstones) for r in got] == [(bytes(x[0][0]), bytes(x[-1][0]), len(x), sum(r[2] == "D" for r in x)) for x in want]
+        folder = got[0].path.split("/")[0]
+        read = rn.read_changelog(spark, [rn.uri(tmp_path, folder)])
+        assert "Sort" not in rn.per_file(read)._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", small)
