@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from keyfold.plans.schema import CHANGELOG
 from keyfold.sources import runs as rn
 from keyfold.sources.manifest import sync_folder
-from keyfold.sources.oplog import decode_records, encode_record
+from keyfold.sources.oplog import decode_records, encode_record, framed_bytes
 
 FOLDER = "wal"
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -173,16 +173,15 @@ def _commit(folder: Path, number: int, segments: tuple[Segment, ...]) -> None:
 
 def _records(path: str) -> Iterator[list[tuple[str, bytes, bytes | None]]]:
     """The records of a segment, as many at a time as READ_BYTES hold."""
-    rest = b""
+    rest, missing = b"", 0
     with open(path, "rb") as f:
-        while more := f.read(READ_BYTES):
+        while missing >= 0 and (more := f.read(max(READ_BYTES, missing))):
             rest += more
             found = list(decode_records(rest))
             rest = rest[found[-1][0] if found else 0 :]
+            missing = framed_bytes(rest) - len(rest) if rest else 0  # below 0: whole, and not valid
             if found:
                 yield [x[1:] for x in found]
-            elif len(rest) > READ_BYTES and 8 + int.from_bytes(rest[:4], "big", signed=True) <= len(rest):
-                break  # whole, and still not valid
     if rest:
         raise DamagedSegment(f"{path} is damaged")
 

@@ -11,6 +11,7 @@ from keyfold.functions.stats import IoStats
 from keyfold.plans import planner
 from keyfold.plans.schema import RunMeta
 from keyfold.sources import manifest as mf
+from keyfold.sources import segments as sg
 from keyfold.sources.oplog import OVERHEAD, OpLog, UnknownRecord, decode_records, encode_record
 
 
@@ -56,6 +57,23 @@ def test_log_cuts_a_torn_tail_and_goes_on(tmp_path):
     assert OpLog(tmp_path / "wal.log").recover()[-1] == ("D", b"a", None)
 
 
+@pytest.mark.parametrize("at_once", [1, 8, 100, 1 << 20])
+def test_a_segment_is_read_in_pieces_and_damage_is_an_error(tmp_path, monkeypatch, at_once):
+    monkeypatch.setattr(sg, "READ_BYTES", at_once)
+    todo = [*ops(3, 40), ("P", b"long", random.Random(3).randbytes(5_000)), *ops(4, 20)]
+    data = b"".join(encode_record(*x) for x in todo)
+    file = tmp_path / "segment"
+    file.write_bytes(data)
+    assert [x for some in sg._records(str(file)) for x in some] == todo
+    for bad in (data[:-3], *(data[:at] + bytes([data[at] ^ 0xFF]) + data[at + 1 :] for at in (0, 3, 5, len(data) // 2, len(data) - 1))):
+        file.write_bytes(bad)
+        found = []
+        with pytest.raises(sg.DamagedSegment):
+            for some in sg._records(str(file)):
+                found += some
+        assert found == todo[: len(found)]
+
+
 def test_ranges():
     assert is_empty_range(b"k5", b"k2") and is_empty_range(b"k3", b"k3") and not is_empty_range(None, b"a")
     assert successor(b"ab") == b"ac" and successor(b"a\xff\xff") == b"b" and successor(b"\xff") is None
